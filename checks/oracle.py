@@ -26,8 +26,8 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql.strip()
 
 
-def r(expression: str, alias: str) -> str:
-    return f"round({expression}, 6) + 0.0 AS {alias}"
+def r(expression: str, alias: str, digits: int = 6) -> str:
+    return f"round({expression}, {digits}) + 0.0 AS {alias}"
 
 
 def big(expression: str, alias: str) -> str:
@@ -741,12 +741,12 @@ cte(
 oracle(
     "team_minus_player",
     f"""
-    SELECT matchid, playerid, teamid, {r("age", "age")}, target_match_timestamp,
-           {r("total_diff_last_1", "total_diff_last_1")},
-           {r("avg_diff_last_1", "avg_diff_last_1")},
-           {r("team_total", "team_total_diff_last_1")}, {r("team_avg", "team_avg_diff_last_1")},
-           {r("miss", "diff_total_diff_last_1")},
-           {r("team_avg - avg_diff_last_1", "diff_avg_diff_last_1")},
+    SELECT matchid, playerid, teamid, {r("age", "age", 9)}, target_match_timestamp,
+           {r("total_diff_last_1", "total_diff_last_1", 9)},
+           {r("avg_diff_last_1", "avg_diff_last_1", 9)},
+           {r("team_total", "team_total_diff_last_1", 9)}, {r("team_avg", "team_avg_diff_last_1", 9)},
+           {r("miss", "diff_total_diff_last_1", 9)},
+           {r("team_avg - avg_diff_last_1", "diff_avg_diff_last_1", 9)},
            {big("performance", "diff_performance")},
            {big("sum(performance) OVER (PARTITION BY playerid)", "diff_performance_sum")}
     FROM f_versus

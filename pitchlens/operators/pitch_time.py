@@ -14,45 +14,66 @@ DISMISSALS = ("red", "yellowred")
 ENTRY = ["playerid", "matchid", "teamid"]
 
 
+# Marks of an event whose minute is unknown, and of a dismissal.
+_CAME, _WENT, _SENT_OFF = 1, 2, 4
+
+
+def _events(df: DataFrame, player: str, came=None, went=None, sent=None, mark=None) -> DataFrame:
+    def minute(c):
+        return F.lit(None).cast("int") if c is None else c.cast("int")
+
+    return df.select(
+        F.col(player).alias("playerid"),
+        "matchid",
+        "teamid",
+        minute(came).alias("came"),
+        minute(went).alias("went"),
+        minute(sent).alias("sent"),
+        (F.lit(0) if mark is None else mark).cast("int").alias("mark"),
+    )
+
+
 def _entries(tables: Tables) -> DataFrame:
     """One row per player, match and team: the minutes they came on, went off and were sent off.
 
     Line-up, substitutions and cards are stacked and combined in a single shuffle. The sets hold
     distinct minutes, so they are bounded by the length of a match however many rows come in.
     """
-    known = F.col("playerid").isNotNull() & F.col("matchid").isNotNull()
-    known = known & F.col("teamid").isNotNull()
-
-    def event(kind: str, minute) -> list:
-        return [*ENTRY, F.lit(kind).alias("kind"), minute.cast("int").alias("minute")]
-
     minute = F.col("time")
-    starts = tables.player.select(*event("in", F.lit(0)))
-    comes_on = tables.substitution.withColumn("playerid", F.col("playerin")).select(
-        *event("in", minute)
-    )
-    goes_off = (
-        tables.substitution.withColumn("playerid", F.col("playerout"))
-        .filter(known)
-        .select(*event("out", minute))
-    )
-    sent_off = tables.card.filter(known & F.col("color").isin(*DISMISSALS)).select(
-        *event("card", minute)
+
+    def unknown(mark: int):
+        return F.when(minute.isNull(), mark).otherwise(0)
+
+    changes = tables.substitution
+    leaving = changes.dropna(subset=["playerout", "matchid", "teamid"])
+    dismissals = tables.card.filter(F.col("color").isin(*DISMISSALS)).dropna(subset=ENTRY)
+    events = (
+        _events(tables.player, "playerid", came=F.lit(0))
+        .unionByName(_events(changes, "playerin", came=minute, mark=unknown(_CAME)))
+        .unionByName(_events(leaving, "playerout", went=minute, mark=unknown(_WENT)))
+        .unionByName(_events(dismissals, "playerid", sent=minute, mark=F.lit(_SENT_OFF)))
     )
-    events = starts.unionByName(comes_on).unionByName(goes_off).unionByName(sent_off)
+    nothing = F.array().cast("array<int>")
+    unknown_minute = F.array(F.lit(None).cast("int"))
 
-    def when(kind: str, value):
-        return F.when(F.col("kind") == kind, value)
+    def marked(mark: int):
+        return F.col("marks").bitwiseAND(mark) != 0
 
-    is_open_out = (F.col("kind") == "out") & F.col("minute").isNull()
     return (
         events.groupBy(*ENTRY)
         .agg(
-            F.collect_set(when("in", F.struct(F.col("minute").alias("in_time")))).alias("ins"),
-            F.collect_set(when("out", F.col("minute"))).alias("outs"),
-            F.max(F.when(is_open_out, True)).alias("open_out"),
-            F.max(when("card", F.lit(True))).alias("dismissed"),
-            F.min(when("card", F.col("minute"))).alias("card_time"),
+            F.collect_set("came").alias("came"),
+            F.collect_set("went").alias("outs"),
+            F.min("sent").alias("card_time"),
+            F.bit_or("mark").alias("marks"),
+        )
+        .select(
+            *ENTRY,
+            F.concat("came", F.when(marked(_CAME), unknown_minute).otherwise(nothing)).alias("ins"),
+            "outs",
+            marked(_WENT).alias("open_out"),
+            marked(_SENT_OFF).alias("dismissed"),
+            "card_time",
         )
         .filter(F.size("ins") > 0)
     )
@@ -82,9 +103,9 @@ def presence(tables: Tables, matches: DataFrame | None = None) -> DataFrame:
     spells = F.expr(
         """
         flatten(transform(ins, i -> transform(ends, o -> named_struct(
-            'in_time', i.in_time,
+            'in_time', i,
             'out_time', o,
-            'playtime', cast(if(coalesce(o <> i.in_time, false), o - i.in_time, 1) as int)))))
+            'playtime', if(coalesce(o <> i, false), o - i, 1)))))
         """
     )
     return (
