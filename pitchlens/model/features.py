@@ -49,10 +49,13 @@ def matches_by_year(match: DataFrame, since: int) -> DataFrame:
     )
 
 
-def lineups_since(match: DataFrame, player: DataFrame, since: int) -> DataFrame:
+def lineups_since(
+    match: DataFrame, player: DataFrame, since: int, hot: HotKeys | None = None
+) -> DataFrame:
     """Starting players of the matches from year ``since`` on, with the day of the match."""
     days = match.filter(F.year("matchday") >= since).select("matchid", "matchday")
-    return player.select("matchid", "teamid", "playerid").join(days, "matchid")
+    lineups = player.select("matchid", "teamid", "playerid")
+    return split_join(lineups, days, ["matchid"], hot=hot, spread_by=["playerid", "teamid"])
 
 
 def asof_scores(
@@ -68,7 +71,7 @@ def asof_scores(
     """
     keys = ["teamid", "playerid"]
     if not compat:
-        return as_of(lineups, scores, keys, "matchday", DAY, attributes).select(
+        return as_of(lineups, scores, keys, "matchday", DAY, attributes, hot=hot).select(
             "matchid", *keys, F.col("_as_of").alias("score_day"), *attributes
         )
     # Of the two latest days with scores, the first that has a match other than this one. All
@@ -94,9 +97,10 @@ def asof_scores(
         F.col("first").isNull() | F.col("score_day").isNotNull()
     )
     values = scores.select(*keys, F.col(DAY).alias("score_day"), *attributes)
-    return dated.join(values, [*keys, "score_day"], "left").select(
-        "matchid", *keys, "score_day", *attributes
-    )
+    # Most of a player's matches ask for the same day, so this key is as hot as the player.
+    return split_join(
+        dated, values, [*keys, "score_day"], "left", hot=hot, spread_by=["matchid"]
+    ).select("matchid", *keys, "score_day", *attributes)
 
 
 def team_strength(

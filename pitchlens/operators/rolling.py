@@ -188,25 +188,63 @@ def as_of(
     day: str,
     right_day: str,
     values: Sequence[str],
+    hot: HotKeys | None = None,
+    floor_rows: int | None = None,
 ) -> DataFrame:
     """The latest ``right`` row strictly before each ``left`` row's day, per key.
 
-    Rows of ``left`` without an earlier one are dropped. Both sides are reduced to one entry per
-    key and day before the window, which is therefore bounded by the calendar; of several right
-    rows on one day the one with the highest id counts.
+    Rows of ``left`` without an earlier one are dropped; of several right rows on one day the
+    one with the highest id counts. Both sides are stacked and sorted once per key, asking rows
+    before the offered ones of their day, so no join is needed. For hot keys both sides are
+    reduced to one entry per day first, and the answers joined back by (key, day). ``hot`` may
+    name fewer keys; by default it is found from ``left`` and ``right`` together.
     """
     keys = list(keys)
     known = F.struct(F.col(right_day).alias("_as_of"), *values)
-    offered = right.groupBy(*keys, F.col(right_day).alias(day)).agg(
-        F.max_by(known, F.struct(*MATCH_ORDER)).alias("_known")
+    asking = left.filter(F.col(day).isNotNull())
+    known_type = right.select(known.alias("k")).schema["k"].dataType
+    # One frame with both: asking rows carry their own columns, offered rows only what they offer.
+    rows = asking.withColumn("_offered", F.lit(False)).withColumn(
+        "_known", F.lit(None).cast(known_type)
     )
-    asked = left.filter(F.col(day).isNotNull()).select(*keys, day).distinct()
-    asked = asked.withColumn("_known", F.lit(None).cast(offered.schema["_known"].dataType))
-    line = offered.unionByName(asked).groupBy(*keys, day).agg(F.max("_known").alias("_known"))
-    earlier = W.partitionBy(*keys).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    found = (
-        line.withColumn("_found", F.last("_known", ignorenulls=True).over(earlier))
-        .filter(F.col("_found").isNotNull())
-        .select(*keys, day, "_found")
+    offers = right.select(
+        *keys,
+        *[c for c in MATCH_ORDER if c not in keys],
+        F.col(right_day).alias(day),
+        known.alias("_known"),
+        F.lit(True).alias("_offered"),
     )
-    return left.join(found, [*keys, day]).select(*left.columns, "_found.*")
+    rows = rows.unionByName(offers, allowMissingColumns=True)
+    out = [*left.columns, "_found.*"]
+
+    def usual(part: DataFrame) -> DataFrame:
+        line = W.partitionBy(*keys).orderBy(day, "_offered", *MATCH_ORDER)
+        before = line.rowsBetween(W.unboundedPreceding, -1)
+        found = part.withColumn("_found", F.last("_known", ignorenulls=True).over(before))
+        return found.filter(~F.col("_offered") & F.col("_found").isNotNull()).select(*out)
+
+    def heavy(part: DataFrame) -> DataFrame:
+        # Offers of a day are ranked before the shuffle too: one per day and task leaves.
+        latest_first = W.partitionBy(*keys, day).orderBy(*[F.desc(c) for c in MATCH_ORDER])
+        offered = (
+            part.filter("_offered")
+            .withColumn("_rank", F.row_number().over(latest_first))
+            .filter("_rank = 1")
+            .select(*keys, day, "_known", F.lit(True).alias("_offered"))
+        )
+        asked = part.filter(~F.col("_offered")).select(*keys, day).distinct()
+        days = offered.unionByName(
+            asked.withColumn("_offered", F.lit(False)), allowMissingColumns=True
+        )
+        line = W.partitionBy(*keys).orderBy(day, "_offered")
+        before = line.rowsBetween(W.unboundedPreceding, -1)
+        answers = (
+            days.withColumn("_found", F.last("_known", ignorenulls=True).over(before))
+            .filter(~F.col("_offered") & F.col("_found").isNotNull())
+            .select(*keys, day, "_found")
+        )
+        return part.filter(~F.col("_offered")).join(answers, [*keys, day]).select(*out)
+
+    if hot is None:
+        hot = find_hot(rows, keys, floor_rows)
+    return by_key_size(rows, list(hot.keys), usual, heavy, hot=hot)

@@ -332,6 +332,7 @@ def _trainer_effect(data: DataSet, compat: bool = False) -> DataFrame:
         TOURNAMENT,
         TRAINER_SINCE,
         compat,
+        data.tables.hot_teams,
     )
 
 
@@ -343,17 +344,24 @@ _simple("trainer_effect_compat", lambda d: _trainer_effect(d, compat=True))
 
 def _graph(data: DataSet) -> tuple[DataFrame, DataFrame]:
     present = coplay.coplay_presence(
-        data.played, data.tables.match, GRAPH_SINCE, GRAPH_COUNTRIES
+        data.played,
+        data.tables.match,
+        GRAPH_SINCE,
+        GRAPH_COUNTRIES,
+        data.tables.hot_matches,
     )
     return present, coplay.coplay_nodes(present, data.tables.profile, data.tables.team)
 
 
 _simple("coplay_nodes", lambda d: _graph(d)[1])
-_simple("coplay_edges", lambda d: coplay.coplay_edges(*_graph(d), hot=d.tables.hot_matches))
-_simple(
-    "coplay_edges_weighted",
-    lambda d: coplay.coplay_edges_weighted(*_graph(d), hot=d.tables.hot_matches),
-)
+for _name, _edges in (
+    ("coplay_edges", coplay.coplay_edges),
+    ("coplay_edges_weighted", coplay.coplay_edges_weighted),
+):
+    _simple(
+        _name,
+        lambda d, fn=_edges: fn(*_graph(d), d.tables.hot_matches, d.tables.hot_players),
+    )
 
 
 @_query("coplay_export")
@@ -368,7 +376,9 @@ def _coplay_export(data, spark, folder):
 
 
 def _asof(data: DataSet, compat: bool = False) -> DataFrame:
-    lineups = feat.lineups_since(data.tables.match, data.tables.player, FEATURES_SINCE)
+    lineups = feat.lineups_since(
+        data.tables.match, data.tables.player, FEATURES_SINCE, data.tables.hot_matches
+    )
     return feat.asof_scores(lineups, data.scores, compat=compat, hot=data.tables.hot_players)
 
 

@@ -53,11 +53,11 @@ def team_minus_player(
     A sign of +1 says that the team did better than the player.
     """
     total, avg = total_col("diff", x), avg_col("diff", x)
-    rows = (
-        scores.join(profile.select("playerid"), "playerid", "left_semi")
-        .filter(F.col("age") >= min_age)
-        .select("matchid", "playerid", "teamid", "age", DAY, total, avg)
+    grown = scores.filter(F.col("age") >= min_age).select(
+        "matchid", "playerid", "teamid", "age", DAY, total, avg
     )
+    known = profile.select("playerid")
+    rows = split_join(grown, known, ["playerid"], hot=hot_players, spread_by=["matchid"])
     means = rows.groupBy("matchid", "teamid").agg(
         F.avg(total).alias(f"team_{total}"), F.avg(avg).alias(f"team_{avg}")
     )

@@ -13,14 +13,19 @@ from pitchlens.skew import HotKeys, split_join
 
 
 def coplay_presence(
-    player_time: DataFrame, match: DataFrame, since: datetime.date, countries: Sequence[str]
+    player_time: DataFrame,
+    match: DataFrame,
+    since: datetime.date,
+    countries: Sequence[str],
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Players and teams of the chosen matches, one row each, with the day of the match."""
     chosen = match.filter(
         (F.col("matchday") >= F.lit(since)) & F.col("country").isin(list(countries))
     ).select("matchid", "matchday")
     present = player_time.filter(F.col("playerid").isNotNull())
-    return present.select("playerid", "matchid", "teamid").join(chosen, "matchid")
+    present = present.select("playerid", "matchid", "teamid")
+    return split_join(present, chosen, ["matchid"], hot=hot, spread_by=["playerid", "teamid"])
 
 
 def coplay_nodes(present: DataFrame, profile: DataFrame, team: DataFrame) -> DataFrame:
@@ -42,7 +47,13 @@ def coplay_nodes(present: DataFrame, profile: DataFrame, team: DataFrame) -> Dat
     )
 
 
-def _pairs(present: DataFrame, nodes: DataFrame, hot: HotKeys | None, both_ways: bool):
+def _pairs(
+    present: DataFrame,
+    nodes: DataFrame,
+    hot_matches: HotKeys | None,
+    hot_players: HotKeys | None,
+    both_ways: bool,
+) -> DataFrame:
     """Pairs of players with an entry for the same match and team.
 
     The edge list itself has one row per pair, so its size is set by the squads. Players that
@@ -50,26 +61,36 @@ def _pairs(present: DataFrame, nodes: DataFrame, hot: HotKeys | None, both_ways:
     separately.
     """
     ids = nodes.select(F.col("id").alias("playerid")).distinct()
-    squad = present.select("playerid", "matchid", "teamid").join(ids, "playerid", "left_semi")
+    squad = present.select("playerid", "matchid", "teamid")
+    squad = split_join(squad, ids, ["playerid"], hot=hot_players, spread_by=["matchid"])
     others = squad.withColumnRenamed("playerid", "target")
     pairs = split_join(
         squad.withColumnRenamed("playerid", "source"),
         others,
         ["matchid", "teamid"],
-        hot=hot,
+        hot=hot_matches,
         spread_by=["source"],
     )
     keep = F.col("source") != F.col("target") if both_ways else F.col("source") < F.col("target")
     return pairs.filter(keep)
 
 
-def coplay_edges(present: DataFrame, nodes: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def coplay_edges(
+    present: DataFrame,
+    nodes: DataFrame,
+    hot_matches: HotKeys | None = None,
+    hot_players: HotKeys | None = None,
+) -> DataFrame:
     """One edge per match, team and ordered pair of players, where both ends are nodes."""
-    return _pairs(present, nodes, hot, both_ways=True).select("source", "target")
+    pairs = _pairs(present, nodes, hot_matches, hot_players, both_ways=True)
+    return pairs.select("source", "target")
 
 
 def coplay_edges_weighted(
-    present: DataFrame, nodes: DataFrame, hot: HotKeys | None = None
+    present: DataFrame,
+    nodes: DataFrame,
+    hot_matches: HotKeys | None = None,
+    hot_players: HotKeys | None = None,
 ) -> DataFrame:
     """Edges with the number of times two players came together.
 
@@ -77,7 +98,7 @@ def coplay_edges_weighted(
     mirrored, so the result is the grouped form of ``coplay_edges`` at half its work.
     """
     counted = (
-        _pairs(present, nodes, hot, both_ways=False)
+        _pairs(present, nodes, hot_matches, hot_players, both_ways=False)
         .groupBy("source", "target")
         .agg(F.count(F.lit(1)).alias("weight"))
     )

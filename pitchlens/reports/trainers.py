@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlens.functions import scalars
+from pitchlens.skew import HotKeys, split_join
 
 
 def match_points(
@@ -55,6 +56,7 @@ def trainer_effect(
     tournament: str,
     since: int,
     compat: bool = False,
+    hot_teams: HotKeys | None = None,
 ) -> DataFrame:
     """A trainer's mean points with a team compared with the team's mean over all seasons.
 
@@ -68,7 +70,13 @@ def trainer_effect(
     names = trainer_name.dropDuplicates()
     recent = points.filter((F.col("saison") >= since) & (F.col("tournament") == tournament))
     teams = recent.select("teamid").distinct()
-    relevant = points.filter(F.col("saison") >= since).join(teams, "teamid", "left_semi")
+    relevant = split_join(
+        points.filter(F.col("saison") >= since),
+        teams,
+        ["teamid"],
+        hot=hot_teams,
+        spread_by=["matchid"],
+    )
     per_trainer = (
         relevant.join(trainer, ["teamid", "matchid"])
         .groupBy("trainer", "teamid")

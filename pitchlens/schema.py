@@ -140,6 +140,13 @@ class Tables:
         comes_on = self.substitution.select(F.col("playerin").alias("playerid"))
         return find_hot(starts.unionByName(comes_on), ["playerid"])
 
+    @cached_property
+    def hot_teams(self) -> HotKeys:
+        """Teams with too many matches for one task."""
+        home = self.match.select(F.col("hometeam").alias("teamid"))
+        guest = self.match.select(F.col("guestteam").alias("teamid"))
+        return find_hot(home.unionByName(guest), ["teamid"])
+
     @classmethod
     def names(cls) -> list[str]:
         return [f.name for f in fields(cls)]

@@ -42,7 +42,11 @@ SPLIT = [
     "team_minus_player_curve",
     "coplay_edges",
     "coplay_edges_weighted",
+    "asof_scores",
     "asof_scores_compat",
+    "team_strength",
+    "trainer_effect",
+    "coplay_nodes",
 ]
 
 
@@ -52,6 +56,7 @@ def hot_data(spark):
     data = dataset.DataSet(tables_from_orders(spark, FOLDER))
     assert data.tables.hot_players.rows is not None
     assert data.tables.hot_matches.rows is not None
+    assert data.tables.hot_teams.rows is not None
     yield data
     skew.FLOOR_ROWS = floor
 

@@ -94,7 +94,8 @@ def test_number_of_hot_keys_is_bounded(spark, monkeypatch):
     assert found.rows.count() < 4
 
 
-def test_as_of_is_strictly_before(spark):
+@pytest.mark.parametrize("floor", [1000, 2])
+def test_as_of_is_strictly_before(spark, floor):
     scores = spark.createDataFrame(
         [(1, 7, 100, day(0), 1.0), (1, 7, 101, day(3), 2.0), (1, 7, 102, day(9), 3.0)],
         "teamid bigint, playerid bigint, matchid bigint, score_date date, v double",
@@ -103,7 +104,7 @@ def test_as_of_is_strictly_before(spark):
         [(101, 1, 7, day(3)), (200, 1, 7, day(5)), (100, 1, 7, day(0)), (201, 1, 8, day(5))],
         "matchid bigint, teamid bigint, playerid bigint, matchday date",
     )
-    got = as_of(asked, scores, ["teamid", "playerid"], "matchday", "score_date", ["v"])
+    got = as_of(asked, scores, ["teamid", "playerid"], "matchday", "score_date", ["v"], floor_rows=floor)
     assert as_set(got, "matchid", "_as_of", "v") == {(101, day(0), 1.0), (200, day(3), 2.0)}
 
 
