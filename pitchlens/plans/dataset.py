@@ -8,10 +8,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from pitchlens.functions.columns import DEFAULT_XS
+from pitchlens.model import features
 from pitchlens.operators.pitch_time import player_time
 from pitchlens.operators.ranked import neutral_ranked_last_x
 from pitchlens.operators.scores import score_with_age
 from pitchlens.schema import Tables
+from pitchlens.sources.adapter import tables_from_orders
 from pitchlens.sources.jdbc import write_jdbc
 from pitchlens.sources.parquet import write_parquet
 from pitchlens.staging import stage
@@ -23,8 +25,9 @@ class DataSet:
     Each derived table is written to the shared folder when it is first asked for.
     """
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, features_since: int = 2014):
         self.tables = tables
+        self.features_since = features_since
 
     @cached_property
     def played(self) -> DataFrame:
@@ -42,6 +45,16 @@ class DataSet:
         return stage(neutral_ranked_last_x(self.tables), "results")
 
 
+    @cached_property
+    def strength(self) -> DataFrame:
+        """Players' latest scores before each match, summed per match and team."""
+        lineups = features.lineups_since(
+            self.tables.match, self.tables.player, self.features_since, self.tables.hot_matches
+        )
+        known = features.asof_scores(lineups, self.scores, hot=self.tables.hot_players)
+        return stage(features.team_strength(known, self.played), "strength")
+
+
 def score_batch(tables: Tables, folder: str, xs: Sequence[int] = DEFAULT_XS) -> None:
     """Write ``playertime`` and ``scores`` as parquet tables under ``folder``."""
     write_parquet(player_time(tables), f"{folder}/playertime")
@@ -64,11 +77,13 @@ def result_batch(tables: Tables, folder: str, xs: Sequence[int] = (1,)) -> None:
 _open: dict[tuple[str, str], DataSet] = {}
 
 
+# First year of the goal model's matches in the derived data, which start in 1995.
+ORDERS_FEATURES_SINCE = 1996
+
+
 def dataset_of(spark: SparkSession, folder: str) -> DataSet:
     """The data set derived from the order tables in ``folder``, one per application."""
-    from pitchlens.sources.adapter import tables_from_orders
-
     key = (spark.sparkContext.applicationId, folder)
     if key not in _open:
-        _open[key] = DataSet(tables_from_orders(spark, folder))
+        _open[key] = DataSet(tables_from_orders(spark, folder), ORDERS_FEATURES_SINCE)
     return _open[key]

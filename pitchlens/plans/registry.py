@@ -14,10 +14,11 @@ from pitchlens.functions.scalars import dedupe, minute_of_text, number_of_text,
 from pitchlens.model import features as feat
 from pitchlens.model import training
 from pitchlens.operators import neutral, pitch_time, ranked, rolling, scores, segments
+from pitchlens.plans.dataset import ORDERS_FEATURES_SINCE as FEATURES_SINCE
 from pitchlens.plans.dataset import DataSet, dataset_of
 from pitchlens.reports import careers, coplay, leagues, monthly, overview, trainers
 from pitchlens.sources import csv_files, parquet
-from pitchlens.staging import new_path
+from pitchlens.staging import new_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +32,6 @@ TARGET_SEASONS = ["1997", "1998", "1999"]
 MEMBER_TOURNAMENTS = ["1-URGENT", "2-HIGH"]
 POINTS_SINCE, POINTS_UNTIL, TRAINER_SINCE = 1995, 2001, 1999
 GRAPH_SINCE, GRAPH_COUNTRIES = datetime.date(1998, 1, 1), ["F", "P"]
-FEATURES_SINCE = 1996
 BEST_METRICS = {
     "total_off": "total_ranked_off",
     "avg_off": "avg_ranked_off",
@@ -188,7 +188,12 @@ def _with_card_diff(fn):
 _simple("referee_card_diff", _card_diff)
 _simple("referee_most_cards", _with_card_diff(overview.referee_most_cards))
 _simple("referee_least_cards", _with_card_diff(overview.referee_least_cards))
-_simple("referee_fav_hate", _with_card_diff(overview.referee_fav_hate))
+_simple(
+    "referee_fav_hate",
+    lambda d: overview.referee_fav_hate(
+        stage(_card_diff(d), "card-diff"), d.tables.team, d.tables.referee
+    ),
+)
 
 
 def _played(data: DataSet) -> DataFrame:
@@ -233,7 +238,7 @@ _simple("team_minus_player_top10", lambda d: careers.team_minus_player_top(_comp
 _simple(
     "team_minus_player_curve",
     lambda d: careers.team_minus_player_curve(
-        _compared(d), d.tables.profile, hot=d.tables.hot_players
+        stage(_compared(d), "compared"), d.tables.profile, hot=d.tables.hot_players
     ),
 )
 
@@ -326,7 +331,7 @@ def _points(data: DataSet, compat: bool = False) -> DataFrame:
 
 def _trainer_effect(data: DataSet, compat: bool = False) -> DataFrame:
     return trainers.trainer_effect(
-        _points(data, compat),
+        stage(_points(data, compat), "points"),
         data.tables.trainer,
         data.tables.trainer_name,
         TOURNAMENT,
@@ -383,10 +388,8 @@ def _asof(data: DataSet, compat: bool = False) -> DataFrame:
 
 
 def _features(data: DataSet) -> DataFrame:
-    strength = feat.team_strength(_asof(data), data.played)
-    return feat.match_features(
-        feat.team_goal_table(data.tables.match, data.tables.goal), strength
-    )
+    goals = feat.team_goal_table(data.tables.match, data.tables.goal)
+    return feat.match_features(goals, data.strength)
 
 
 def _split(data: DataSet) -> DataFrame:

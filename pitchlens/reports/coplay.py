@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchlens.skew import HotKeys, split_join
+from pitchlens.staging import stage
 
 
 def coplay_presence(
@@ -62,7 +63,10 @@ def _pairs(
     """
     ids = nodes.select(F.col("id").alias("playerid")).distinct()
     squad = present.select("playerid", "matchid", "teamid")
-    squad = split_join(squad, ids, ["playerid"], hot=hot_players, spread_by=["matchid"])
+    # Both sides of the self-join read it, so it is stored once.
+    squad = stage(
+        split_join(squad, ids, ["playerid"], hot=hot_players, spread_by=["matchid"]), "squad"
+    )
     others = squad.withColumnRenamed("playerid", "target")
     pairs = split_join(
         squad.withColumnRenamed("playerid", "source"),

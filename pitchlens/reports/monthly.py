@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pitchlens.functions.columns import NEUTRAL, RANKED, avg_col, playtime_col, total_col
 from pitchlens.functions.scalars import month_of, year_of
 from pitchlens.reports.common import top
+from pitchlens.staging import stage
 
 DAY = "target_match_timestamp"
 AVERAGE = "avg"
@@ -230,7 +231,10 @@ def topn_cumulative(
         monthly = monthly.withColumn(side, F.col(f"{side[:-5]}_off") + F.col(f"{side[:-5]}_def"))
     members = in_season(results, player_seasons, player_tournaments).select("playerid").distinct()
     known = profile.select("playerid", "playername")
-    monthly = monthly.join(members, "playerid", "left_semi").join(known, "playerid")
+    # Small next to the results, and several steps below read it.
+    monthly = stage(
+        monthly.join(members, "playerid", "left_semi").join(known, "playerid"), "months"
+    )
     value = F.avg(metric) if metric.startswith("avg") else F.sum(metric)
     overall = (
         monthly.groupBy("playerid")

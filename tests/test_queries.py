@@ -53,7 +53,9 @@ SPLIT = [
 @pytest.fixture(scope="module")
 def hot_data(spark):
     floor, skew.FLOOR_ROWS = skew.FLOOR_ROWS, 3
-    data = dataset.DataSet(tables_from_orders(spark, FOLDER))
+    data = dataset.DataSet(
+        tables_from_orders(spark, FOLDER), dataset.ORDERS_FEATURES_SINCE
+    )
     assert data.tables.hot_players.rows is not None
     assert data.tables.hot_matches.rows is not None
     assert data.tables.hot_teams.rows is not None
