@@ -18,6 +18,8 @@ SEED = 123
 TEST_PERCENT = 10
 LABEL = "goals"
 INPUTS = [
+    "saison",
+    "is_home",
     "matchlength",
     "playtime",
     "opponent_playtime",
@@ -45,21 +47,12 @@ def staged(split: DataFrame) -> DataFrame:
 
 
 def _prepared(split: DataFrame) -> DataFrame:
-    doubles = [F.col(c).cast("double").alias(c) for c in INPUTS]
+    doubles = [F.col(c).try_cast("double").alias(c) for c in INPUTS]
     return split.select(
         "matchid", "teamid", F.col(LABEL).cast("double").alias(LABEL), "is_test", *doubles
     )
 
 
-def _stages(trees: GBTRegressor) -> list:
-    filled = [f"_{c}" for c in INPUTS]
-    return [
-        Imputer(strategy="mean", inputCols=INPUTS, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        trees,
-    ]
-
-
 def goal_model(
     split: DataFrame, n_trees: int = 20, rate: float = 0.1, depth: int = 4, tolerance: float = 0.01
 ) -> PipelineModel:
@@ -69,7 +62,9 @@ def goal_model(
     trees grown by Spark ML, level by level over all partitions.
     """
     rows = _prepared(split)
-    imputer, assembler, _ = _stages(GBTRegressor())
+    filled_columns = [f"_{c}" for c in INPUTS]
+    imputer = Imputer(strategy="mean", inputCols=INPUTS, outputCols=filled_columns)
+    assembler = VectorAssembler(inputCols=filled_columns, outputCol="features")
     filled = imputer.fit(rows.filter(~F.col("is_test")))
     trees = GBTRegressor(
         labelCol=LABEL,
