@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlens.llm.mixing import mixing_query
-from pitchlens.llm.simhash import simhash_query
+from pitchlens.llm import mixing, simhash, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op4_simhash": simhash_query,
-        "op7_mix": mixing_query,
+        "op1_warc": warc.warc_query,
+        "op2_near_vectors": vectors.vectors_query,
+        "op4_simhash": simhash.simhash_query,
+        "op7_mix": mixing.mixing_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": warc.ORACLE,
+        "op2_near_vectors": vectors.ORACLE,
+    }
