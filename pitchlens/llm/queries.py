@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlens.llm import mixing, simhash, vectors, warc
+from pitchlens.llm import leaks, mixing, simhash, toxicity, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.warc_query,
         "op2_near_vectors": vectors.vectors_query,
         "op4_simhash": simhash.simhash_query,
+        "op5_leaks": leaks.leaks_query,
         "op7_mix": mixing.mixing_query,
+        "op9_toxicity": toxicity.toxicity_query,
     }
 
 
