@@ -22,6 +22,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores before it until no column in ``taken`` has the name."""
+    lower = {c.lower() for c in taken}
+    while wanted.lower() in lower:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary()).to_pylist()

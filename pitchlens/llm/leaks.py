@@ -146,7 +146,9 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _match(block: Block, seeds: np.ndarray, part_of: np.ndarray, offsets: np.ndarray, least: float):
+def _finder(block: Block, seeds: np.ndarray, part_of: np.ndarray, offsets: np.ndarray, least: float):
+    """Finds the items that a text (as word ids) holds: item, score, first and last word."""
+
     def found_in(ids: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         value, at = block.grams(ids)
         first, last = np.searchsorted(seeds, value), np.searchsorted(seeds, value, "right")
@@ -181,6 +183,10 @@ def _match(block: Block, seeds: np.ndarray, part_of: np.ndarray, offsets: np.nda
         for name, (score, a, b) in best.items():
             yield name, score, a, b
 
+    return found_in
+
+
+def _match(block: Block, found_in):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Ids(block.vocabulary)
         for batch in batches:
@@ -199,6 +205,19 @@ def _match(block: Block, seeds: np.ndarray, part_of: np.ndarray, offsets: np.nda
     return run
 
 
+def _finders(texts: DataFrame, benchmark: DataFrame, n: int, least: float) -> Iterator[tuple[Block, object]]:
+    """Each block of the benchmark, with a finder whose seeds are rare in ``texts``."""
+    for block in _blocks(benchmark, n):
+        grams = np.unique(np.concatenate([block.grams(p)[0] for p in block.parts]))
+        if not len(grams):
+            continue
+        often = np.zeros(len(grams), np.int64)
+        counted = texts.mapInArrow(_count(block, grams), "gram long, n long")
+        for row in counted.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+            often[row.gram] = row.n
+        yield block, _finder(block, *choose_seeds(block, grams, often), least)
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, least: float = 0.4, n: int = 3, id_col: str = "doc_id",
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -216,20 +235,38 @@ def leaks(
     words = words.filter("text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for block in _blocks(items, n):
-        known = [block.grams(p)[0] for p in block.parts]
-        grams = np.unique(np.concatenate(known))
-        if not len(grams):
-            continue
-        often = np.zeros(len(grams), np.int64)
-        counted = words.select("text").mapInArrow(_count(block, grams), "gram long, n long")
-        for row in counted.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-            often[row.gram] = row.n
-        match = _match(block, *choose_seeds(block, grams, often), least)
-        out = out.unionByName(stage(words.mapInArrow(match, MATCHES), "leaks"))
+    for block, found_in in _finders(words.select("text"), items, n, least):
+        out = out.unionByName(stage(words.mapInArrow(_match(block, found_in), MATCHES), "leaks"))
     return out
 
 
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.4, n: int = 3, text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that hold no copy of a benchmark item, with all their columns.
+
+    Same matches as in ``leaks``. Rows are filtered where they are, without a join, so rows without
+    an id and repeated rows are each judged by their own text.
+    """
+    at = docs.columns.index(text_col)
+    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+
+    def clean(block: Block, found_in):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Ids(block.vocabulary)
+            for batch in batches:
+                keep = [next(found_in(known.of(t)), None) is None for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for block, found_in in _finders(texts, items, n, least):
+        docs = docs.mapInArrow(clean(block, found_in), docs.schema)
+    return docs
+
+
 def leaks_query(spark, folder: str) -> DataFrame:
     """op5: all documents against all items of the benchmark."""
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

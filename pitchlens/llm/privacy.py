@@ -187,35 +187,31 @@ def sanitise(
     texts: int = 3,
     text_col: str = "text",
 ) -> DataFrame:
-    """All rows and columns of ``docs``, with ``_base`` and ``_spans`` (arrays) and ``_clean`` (text).
+    """``doc`` (a row of ``docs`` with all its columns), ``base``, ``spans`` and ``clean``.
 
-    ``_base`` holds the base spans; ``_spans`` also the terms that disclose an entity of the same text,
-    where they do not overlap a base span. Positions are code points. A null text has no spans and
-    stays null; copies of a text get equal results; an empty table gives no rows. Only texts with
-    personal data are joined with their terms; all others pass through.
+    ``base`` holds the base spans; ``spans`` also the terms that disclose an entity of the same text,
+    where they do not overlap a base span; ``clean`` is the treated text. Positions are code points.
+    A null text has no spans and stays null; copies of a text get equal results; an empty table gives
+    no rows. Only texts with personal data are joined with their terms; all others pass through.
     """
-    keys = {"_k1": F.xxhash64(F.col(text_col)), "_k2": F.char_length(F.col(text_col))}
-    rows = docs.withColumns(keys)
-    terms = disclosing_terms(
-        rows.select(F.col(text_col).alias("text"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")),
-        generalise, remove, texts,
-    )
-    terms = terms.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("flagged").alias("_flagged"))
-    text = F.col(text_col)
-    base = F.coalesce(base_spans(text), F.array().cast(SPAN))
-    rows = rows.withColumn("_base", base)
-    some = F.size("_base") > 0
-    private = rows.filter(some).join(terms, ["_k1", "_k2"], "left")
-    more = F.when(F.col("_flagged").isNotNull(), _term_spans(text, F.col("_flagged")))
-    private = private.withColumn("_more", F.coalesce(more, F.array().cast(SPAN)))
+    text = F.col("doc").getField(text_col)
+    rows = docs.select(F.struct("*").alias("doc"))
+    rows = rows.withColumns({"k1": F.xxhash64(text), "k2": F.char_length(text)})
+    terms = disclosing_terms(rows.select(text.alias("text"), "k1", "k2"), generalise, remove, texts)
+    none = F.array().cast(SPAN)
+    rows = rows.withColumn("base", F.coalesce(base_spans(text), none))
+    some = F.size("base") > 0
+    private = rows.filter(some).join(terms, ["k1", "k2"], "left")
+    more = F.when(F.col("flagged").isNotNull(), _term_spans(text, F.col("flagged")))
+    private = private.withColumn("more", F.coalesce(more, none))
     apart = F.filter(
-        "_more",
-        lambda t: ~F.exists("_base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
+        "more",
+        lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
     )
-    private = private.withColumn("_spans", F.array_sort(F.concat("_base", apart))).drop("_more", "_flagged")
-    private = private.withColumn("_clean", _sanitised(text, F.col("_spans")))
-    plain = rows.filter(~some).withColumn("_spans", F.col("_base")).withColumn("_clean", text)
-    return private.unionByName(plain).drop("_k1", "_k2")
+    private = private.withColumn("spans", F.array_sort(F.concat("base", apart)))
+    private = private.select("doc", "base", "spans", _sanitised(text, F.col("spans")).alias("clean"))
+    plain = rows.filter(~some).select("doc", "base", F.col("base").alias("spans"), text.alias("clean"))
+    return private.unionByName(plain)
 
 
 def privacy_query(spark, folder: str) -> DataFrame:
@@ -223,10 +219,10 @@ def privacy_query(spark, folder: str) -> DataFrame:
     done = sanitise(table(spark, folder, "documents").select("doc_id", "text"))
 
     def number(rank: int) -> Column:
-        return F.size(F.filter("_base", lambda s: s["rank"] == rank)).cast("long")
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
 
     count = [number(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS[:4])]
     return done.select(
-        "doc_id", *count, F.sha2(_written(F.col("_base")), 256).alias("base_sha256"),
-        _written(F.col("_spans")).alias("spans"),
+        "doc.doc_id", *count, F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
+        _written(F.col("spans")).alias("spans"),
     )

@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlens.llm import leaks, mixing, simhash, toxicity, vectors, warc
+from pitchlens.llm import htmltext, leaks, mixing, privacy, repeats, scoring, simhash, toxicity, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.warc_query,
         "op2_near_vectors": vectors.vectors_query,
+        "op3_scoring": scoring.scoring_query,
         "op4_simhash": simhash.simhash_query,
         "op5_leaks": leaks.leaks_query,
+        "op6_privacy": privacy.privacy_query,
         "op7_mix": mixing.mixing_query,
+        "op8_html": htmltext.html_query,
         "op9_toxicity": toxicity.toxicity_query,
+        "op10_repeats": repeats.repeats_query,
     }
 
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitchlens.llm.common import component_labels, raw_texts
+from pitchlens.llm.common import component_labels, free_name, raw_texts
 from pitchlens.llm.graph import components
 from pitchlens.staging import stage
 
@@ -160,6 +161,15 @@ def links(prints: DataFrame, distinct: int, radius: int = 4) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(_meet(lead, half, radius), "a long, b long")
 
 
+def _classes(known: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``first_id`` (smallest id with it) and ``root`` (of its component) per fingerprint."""
+    nodes = stage(known.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    roots = components(links(nodes.select("fp"), nodes.count(), radius), "simhash")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -176,17 +186,39 @@ def near_duplicates(
     Equal fingerprints are one node, so copies cost nothing beyond the first aggregation.
     """
     known = stage(fingerprints(docs, id_col, text_col, words), "simhash-prints")
-    nodes = stage(known.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    found = links(nodes.select("fp"), nodes.count(), radius)
-    roots = components(found, "simhash")
-    classed = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    classed = _classes(known, radius)
     smallest = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classed = stage(classed.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
     return known.join(classed, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4
+) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns of ``docs``.
+
+    The row with the smallest id stays (rows without an id come last). Of rows that repeat an id in
+    a group one stays. An empty table gives no rows.
+    """
+    names = docs.columns
+    at = names.index(text_col)
+    own, other, first = (free_name(n, names) for n in ("_fp", "_kept_fp", "_kept_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(t, words) for t in raw_texts(batch.column(at))]
+            values = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*names, own])
+
+    known = stage(fingerprints(docs, id_col, text_col, words), "simhash-prints")
+    order = F.struct(F.col("first_id").isNull(), "first_id", "fp")
+    kept = _classes(known, radius).groupBy("root").agg(F.min(order).alias("k"))
+    kept = stage(kept.select(F.col("k.fp").alias(other), F.col("k.first_id").alias(first)), "simhash-kept")
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    same = (F.col(own) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(first))
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+
+
 def simhash_query(spark, folder: str) -> DataFrame:
     """op4: the contract's columns."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
