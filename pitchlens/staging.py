@@ -6,22 +6,30 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine) a folder of this process is made, and removed
-    when the process ends.
+    Where that is unset, a folder of this process is made, and removed when the process ends. That
+    works only if there is one machine, so it is an error with any other master than ``local``.
     """
     global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(
+            f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share"
+        )
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="pitchlens-")
         atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
@@ -29,7 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -41,4 +51,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _stored[stored] = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``stage`` has returned and that no plan reads any more."""
+    for frame in frames:
+        _delete(frame.sparkSession, _stored.pop(frame))
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Delete everything that this process has put into the shared folder; returns how many.
+
+    To be called when no frame of the library is in use any more.
+    """
+    paths = list(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
