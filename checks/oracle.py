@@ -11,6 +11,7 @@ import re
 from pitchlens.functions.columns import ATTRIBUTE_ORDER as ATTRS
 from pitchlens.functions.scalars import POSITION_KINDS
 from pitchlens.plans import registry as p
+from pitchlens.schema import SCHEMAS
 
 XS = (1, 2, 3, 5)
 
@@ -521,8 +522,62 @@ cte(
     _windowed("f_ranked", "playerid, saison", (1,), ("off", "def", "diff", *_RANKED)),
 )
 
+# The same for a form of five matches; names of the tables that depend on the form end in _5.
+
+
+def _five(sql: str) -> str:
+    names = ("f_def_weight", "f_off_weight", "f_off_hit", "f_def_hit", "f_ranked_off", "f_ranked_def", "f_ranked")
+    for name in names:
+        sql = re.sub(rf"\b{name}\b", f"{name}_5", sql)
+    return sql.replace("f_season ", "f_season_5 ").replace("_last_1", "_last_5")
+
+
+cte("f_season_5", _windowed("f_points", "playerid, saison", (5,), ("off", "def", "diff")))
+for _name in ("f_def_weight", "f_off_weight", "f_off_hit", "f_def_hit", "f_ranked_off", "f_ranked_def", "f_ranked"):
+    cte(f"{_name}_5", _five(CTES[_name]))
+cte("f_season_history_5", _five(CTES["f_season_history"]).replace("rank <= 1", "rank <= 5"))
+
+
+def _rows_of_five(source: str, names) -> str:
+    return f"""
+    SELECT playerid, matchid, teamid, saison, tournament, day AS target_match_timestamp,
+           {_rolling((5,), names)}
+    FROM {source} GROUP BY playerid, matchid, teamid, saison, tournament, day
+    """
+
+
+oracle("ranked_last_x_5", _rows_of_five("f_season_history_5", _RANKED))
+oracle("neutral_ranked_last_x_5", _rows_of_five("f_season_history_5", ("off", "def", "diff", *_RANKED)))
+oracle(
+    "neutral_ranked_last_x_5_compat",
+    f"""
+    SELECT * FROM (
+        SELECT h.playerid, h.matchid, h.teamid, m.saison, m.tournament, day AS target_match_timestamp,
+               {_rolling((5,), ("off", "def", "diff"))}
+        FROM f_history h JOIN f_match m USING (matchid)
+        GROUP BY h.playerid, h.matchid, h.teamid, m.saison, m.tournament, day)
+    JOIN ({_rows_of_five("f_season_history_5", _RANKED)})
+    USING (playerid, matchid, teamid, saison, tournament, target_match_timestamp, playtime_last_5)
+    """,
+)
+
 # --- sources and scalar functions -------------------------------------------------------------
 
+
+def _lines(name: str) -> str:
+    absent = {"match": "matchtime", "goal": "assist"}.get(name)
+    columns = ", ".join(
+        "'-'" if c == absent else f"coalesce(CAST({c} AS VARCHAR), '-')" for c in SCHEMAS[name].names
+    )
+    table = "f_sub" if name == "substitution" else f"f_{name}"
+    once = "DISTINCT " if name in ("team", "trainer", "trainer_name") else ""
+    return f"SELECT '{name}' AS name, concat_ws('|', {columns}) AS line FROM (SELECT {once}* FROM {table})"
+
+
+oracle(
+    "load_csv_all_tables",
+    f"SELECT name, line, count(*) AS n FROM ({' UNION ALL '.join(map(_lines, SCHEMAS))}) GROUP BY ALL",
+)
 oracle(
     "parse_match_dates",
     """
@@ -709,8 +764,8 @@ oracle(
 oracle(
     "career_curve",
     f"""
-    SELECT playerid, playername, matchid, {r("age", "age")},
-           {r('''sum(total_diff_last_1) OVER (PARTITION BY playerid ORDER BY age, matchid
+    SELECT playerid, playername, matchid, teamid, {r("age", "age")},
+           {r('''sum(total_diff_last_1) OVER (PARTITION BY playerid ORDER BY age, matchid, teamid
                  ROWS UNBOUNDED PRECEDING)''', "score")}
     FROM f_scores JOIN f_profile USING (playerid)
     WHERE playername IN ({quoted(p.CAREER_NAMES)}) AND age >= 17
@@ -763,8 +818,8 @@ oracle("team_minus_player_top10", "SELECT * FROM f_versus_top")
 oracle(
     "team_minus_player_curve",
     f"""
-    SELECT playerid, playername, matchid, {r("age", "age")},
-           {big('''sum(performance) OVER (PARTITION BY playerid ORDER BY age, matchid
+    SELECT playerid, playername, matchid, teamid, {r("age", "age")},
+           {big('''sum(performance) OVER (PARTITION BY playerid ORDER BY age, matchid, teamid
                    ROWS UNBOUNDED PRECEDING)''', "score")}
     FROM f_versus JOIN f_versus_top USING (playerid) JOIN f_profile USING (playerid)
     """,
@@ -1143,6 +1198,11 @@ cte(
 oracle("coplay_nodes", "SELECT * FROM f_node")
 oracle("coplay_export", "SELECT * FROM f_node")
 oracle("coplay_edges", "SELECT * FROM f_edge")
+oracle("coplay_export_edges", "SELECT * FROM f_edge")
+oracle(
+    "coplay_edges_compat",
+    "SELECT source, target FROM f_edge JOIN f_node a ON a.id = source JOIN f_node b ON b.id = target",
+)
 oracle(
     "coplay_edges_weighted",
     "SELECT source, target, count(*) AS weight FROM f_edge GROUP BY source, target",
@@ -1212,9 +1272,14 @@ oracle(
 oracle(
     "asof_scores_compat",
     f"""
+    -- The latest day outside the match is among the days of the pair's two latest matches.
     SELECT q.matchid, teamid, playerid, score_day, {_attribute_out()}
     FROM (SELECT l.matchid, l.teamid, l.playerid, max(s.target_match_timestamp) AS score_day
-          FROM f_lineup l LEFT JOIN f_scores s ON s.teamid = l.teamid AND s.playerid = l.playerid
+          FROM f_lineup l LEFT JOIN (
+              SELECT teamid, playerid, matchid, target_match_timestamp FROM f_scores
+              QUALIFY dense_rank() OVER (PARTITION BY teamid, playerid
+                                         ORDER BY target_match_timestamp DESC, matchid DESC) <= 2
+          ) s ON s.teamid = l.teamid AND s.playerid = l.playerid
           WHERE s.matchid IS NULL OR s.matchid <> l.matchid GROUP BY ALL) q
     LEFT JOIN (SELECT * EXCLUDE (matchid), target_match_timestamp AS score_day FROM f_scores)
     USING (teamid, playerid, score_day)
@@ -1263,6 +1328,14 @@ oracle(
 oracle(
     "train_split",
     f"""
+    SELECT matchid, teamid, goals, {big("matchlength", "matchlength")}, place < 100 AS is_test,
+           place >= 100 AND place < 200 AS is_valid
+    FROM (SELECT *, (matchid % 1000003 * 7919 + 123) % 1000 AS place FROM f_feature)
+    """,
+)
+oracle(
+    "train_split_compat",
+    f"""
     SELECT matchid, teamid, goals, {big("matchlength", "matchlength")},
            (matchid % 1000003 * 7919 + teamid % 1009 * 104729 + 123) % 1000 < 100 AS is_test
     FROM f_feature

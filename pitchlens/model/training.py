@@ -15,9 +15,9 @@ from pitchlens.model.features import ATTRIBUTES
 from pitchlens.staging import stage
 
 SEED = 123
-TEST_PERCENT = 10
+TEST_PERCENT = VALID_PERCENT = 10
 LABEL = "goals"
-INPUTS = [
+BASE_INPUTS = (
     "saison",
     "is_home",
     "matchlength",
@@ -26,19 +26,34 @@ INPUTS = [
     "year",
     "month",
     "day",
-    *ATTRIBUTES,
-    *[f"opponent_{a}" for a in ATTRIBUTES],
-]
+)
 
 
-def train_split(features: DataFrame, seed: int = SEED, percent: int = TEST_PERCENT) -> DataFrame:
-    """Add ``is_test``, true for about ``percent`` of the rows.
+def inputs_of(attributes: Sequence[str] = ATTRIBUTES) -> list[str]:
+    """The model's inputs: the base ones, and the attributes of both sides."""
+    return [*BASE_INPUTS, *attributes, *[f"opponent_{a}" for a in attributes]]
 
-    It depends on the ids of the row only, so it comes out the same however the data is
-    partitioned or a task is repeated.
+
+def train_split(
+    features: DataFrame,
+    seed: int = SEED,
+    test: int = TEST_PERCENT,
+    valid: int = VALID_PERCENT,
+    compat: bool = False,
+) -> DataFrame:
+    """Add ``is_test`` and ``is_valid``, true for about ``test`` and ``valid`` percent of the rows.
+
+    Both sides of a match fall into the same set, since each row holds the other's strength. They
+    depend on ids only, so they come out the same however the data is partitioned or a task is
+    repeated. With ``compat`` sides are dealt out singly, and the test rows also validate.
     """
-    mixed = (F.col("matchid") % 1000003 * 7919 + F.col("teamid") % 1009 * 104729 + seed) % 1000
-    return features.withColumn("is_test", mixed < percent * 10)
+    mixed = F.col("matchid") % 1000003 * 7919
+    if compat:
+        mixed = (mixed + F.col("teamid") % 1009 * 104729 + seed) % 1000
+        return features.withColumns({"is_test": mixed < test * 10, "is_valid": mixed < test * 10})
+    mixed = (mixed + seed) % 1000
+    is_valid = (mixed >= test * 10) & (mixed < (test + valid) * 10)
+    return features.withColumns({"is_test": mixed < test * 10, "is_valid": is_valid})
 
 
 def staged(split: DataFrame) -> DataFrame:
@@ -46,42 +61,57 @@ def staged(split: DataFrame) -> DataFrame:
     return stage(split, "split")
 
 
-def _prepared(split: DataFrame) -> DataFrame:
-    doubles = [F.col(c).try_cast("double").alias(c) for c in INPUTS]
+def _prepared(split: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """Inputs as doubles. Of a season such as 1998/99 the first year counts."""
+    text = {"saison": F.regexp_extract(F.col("saison").cast("string"), r"\d{4}", 0)}
+    doubles = [text.get(c, F.col(c)).try_cast("double").alias(c) for c in inputs]
     return split.select(
-        "matchid", "teamid", F.col(LABEL).cast("double").alias(LABEL), "is_test", *doubles
+        "matchid", "teamid", F.col(LABEL).cast("double").alias(LABEL), "is_test", "is_valid", *doubles
     )
 
 
 def goal_model(
-    split: DataFrame, n_trees: int = 20, rate: float = 0.1, depth: int = 4, tolerance: float = 0.01
+    split: DataFrame,
+    n_trees: int = 500,
+    rate: float = 0.1,
+    depth: int = 4,
+    tolerance: float = 0.01,
+    attributes: Sequence[str] = ATTRIBUTES,
 ) -> PipelineModel:
-    """Fit on the training rows; stop adding trees when the error on test rows stops falling.
+    """Fit on the training rows; stop adding trees when the error on validation rows stops falling.
 
-    The means for missing values come from the training rows alone. Features are binned and
-    trees grown by Spark ML, level by level over all partitions.
+    Test rows are seen by neither. The means for missing values come from the training rows alone;
+    inputs that have no value there are left out. Features are binned and trees grown by Spark ML,
+    level by level over all partitions.
     """
-    rows = _prepared(split)
-    filled_columns = [f"_{c}" for c in INPUTS]
-    imputer = Imputer(strategy="mean", inputCols=INPUTS, outputCols=filled_columns)
+    inputs = inputs_of(attributes)
+    rows = _prepared(split, inputs)
+    training = rows.filter(~F.col("is_test") & ~F.col("is_valid"))
+    known = training.agg(*[F.count(c).alias(c) for c in inputs]).first()
+    inputs = [c for c in inputs if known[c]]
+    filled_columns = [f"_{c}" for c in inputs]
+    imputer = Imputer(strategy="mean", inputCols=inputs, outputCols=filled_columns)
     assembler = VectorAssembler(inputCols=filled_columns, outputCol="features")
-    filled = imputer.fit(rows.filter(~F.col("is_test")))
+    filled = imputer.fit(training)
     trees = GBTRegressor(
         labelCol=LABEL,
         maxIter=n_trees,
         stepSize=rate,
         maxDepth=depth,
-        validationIndicatorCol="is_test",
+        validationIndicatorCol="is_valid",
         validationTol=tolerance,
         seed=SEED,
     )
-    fitted = trees.fit(assembler.transform(filled.transform(rows)))
+    seen = rows.filter("is_valid or not is_test")
+    fitted = trees.fit(assembler.transform(filled.transform(seen)))
     return PipelineModel([filled, assembler, fitted])
 
 
-def goal_predictions(model: PipelineModel, split: DataFrame) -> DataFrame:
+def goal_predictions(
+    model: PipelineModel, split: DataFrame, attributes: Sequence[str] = ATTRIBUTES
+) -> DataFrame:
     """Predictions for the test rows, plain and rounded."""
-    rows = _prepared(split).filter("is_test")
+    rows = _prepared(split, inputs_of(attributes)).filter("is_test")
     return model.transform(rows).select(
         "matchid",
         "teamid",
@@ -112,17 +142,22 @@ def model_grid(
 ) -> DataFrame:
     """Errors on the test rows for every number of trees and learning rate, all over ``split``.
 
-    The loop runs over the settings; each fit and evaluation is a distributed job.
+    A model of fewer trees is the beginning of one with more, so each rate is fitted once, with the
+    largest number; where it stopped before a number is reached, that number has the same model.
+    Each fit and evaluation is a distributed job.
     """
     evaluator = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction_rounded")
     rows = []
-    for n_trees in trees:
-        for rate in rates:
-            predictions = goal_predictions(goal_model(split, n_trees, rate, depth), split)
-            scores = [
-                float(evaluator.evaluate(predictions, {evaluator.metricName: m}))
-                for m in ("mae", "mse", "r2")
-            ]
+    for rate in rates:
+        model, scores = None, None
+        for n_trees in sorted(trees, reverse=True):
+            if model is None or model.stages[-1].getNumTrees > n_trees:
+                model = goal_model(split, n_trees, rate, depth)
+                predictions = goal_predictions(model, split)
+                scores = [
+                    float(evaluator.evaluate(predictions, {evaluator.metricName: m}))
+                    for m in ("mae", "mse", "r2")
+                ]
             rows.append((int(n_trees), float(rate), *scores))
     return split.sparkSession.createDataFrame(
         rows, "n_trees int, rate double, mae double, mse double, r2 double"

@@ -64,8 +64,12 @@ def with_neutral_points(present: DataFrame) -> DataFrame:
 
 
 def match_presence(tables: Tables) -> DataFrame:
-    """One row per player, match and team: spells, goals of the match, and neutral points."""
-    return with_neutral_points(presence(tables, match_facts(tables)))
+    """One row per known player, match and team: spells, goals of the match, and neutral points.
+
+    Starters without an id have times on the pitch, but no points: they are not one player.
+    """
+    known = presence(tables, match_facts(tables)).filter(F.col("playerid").isNotNull())
+    return with_neutral_points(known)
 
 
 def neutral_off_points(tables: Tables) -> DataFrame:

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchlens.functions.columns import NEUTRAL, RANKED, avg_col
-from pitchlens.operators.neutral import match_presence
+from pitchlens.functions.columns import NEUTRAL, RANKED, avg_col, playtime_col
+from pitchlens.operators.neutral import goals_per_match, match_presence
 from pitchlens.operators.pitch_time import ENTRY
 from pitchlens.operators.rolling import last_x
 from pitchlens.schema import Tables
 from pitchlens.skew import split_join
-from pitchlens.staging import stage
+from pitchlens.staging import discard, stage
 
 SEASON = ("playerid", "saison")
 
@@ -21,14 +21,15 @@ SEASON = ("playerid", "saison")
 def _form(tables: Tables, x: int) -> DataFrame:
     """Every player and match with the player's averages over the last X matches of the season.
 
-    Several branches of the plans below read it, so it is stored once.
+    The joins below read it twice, so it is stored. Goals are joined by match later: they need not
+    travel with every player's row.
     """
     form = last_x(
         match_presence(tables),
         (x,),
         (NEUTRAL,),
         scope=SEASON,
-        keep=["tournament", "playtime", "off", "def", "spells", "goals"],
+        keep=["tournament", "playtime", "off", "def", "spells"],
         hot=tables.hot_players,
     )
     return stage(
@@ -41,7 +42,6 @@ def _form(tables: Tables, x: int) -> DataFrame:
             "off",
             "def",
             "spells",
-            "goals",
             F.col(avg_col("off", x)).alias("off_form"),
             F.col(avg_col("def", x)).alias("def_form"),
         ),
@@ -49,16 +49,21 @@ def _form(tables: Tables, x: int) -> DataFrame:
     )
 
 
-def _goal_weights(form: DataFrame) -> DataFrame:
+def _goal_weights(form: DataFrame, tables: Tables) -> DataFrame:
     """Per match, ``weights``: for each goal minute and side, the summed form on the pitch.
 
     For the scoring side it is the offensive form of its players on the pitch, for any other
     side the defensive form. Goals of one team in the same minute make one entry, in which every
     player counts once per goal. The array is bounded by the minutes of a match.
     """
-    present = form.select(
-        "matchid", F.col("teamid").alias("side"), "spells", "off_form", "def_form", F.inline("goals")
+    listed = split_join(
+        form.select("matchid", "playerid", F.col("teamid").alias("side"), "spells", "off_form", "def_form"),
+        goals_per_match(tables.goal),
+        ["matchid"],
+        hot=tables.hot_matches,
+        spread_by=["playerid", "side"],
     )
+    present = listed.select("matchid", "side", "spells", "off_form", "def_form", F.inline("goals"))
     times = F.expr("size(filter(spells, s -> time between s.in_time and s.out_time))")
     form_of_side = F.when(F.col("side") == F.col("teamid"), F.col("off_form")).otherwise(
         F.col("def_form")
@@ -93,19 +98,29 @@ def _weights_on_pitch(own: bool) -> Column:
     )
 
 
-def _credited(tables: Tables, x: int) -> DataFrame:
+def credited(tables: Tables, x: int = 1) -> DataFrame:
+    """Each player and match with the weights of the goals ``scored`` and ``conceded`` meanwhile.
+
+    The table is stored: both baselines and the points come from it, so the join with the goals of
+    the match runs once. ``x`` is the number of matches that the form of the opponents is taken from.
+    """
     form = _form(tables, x)
     joined = split_join(
         form,
-        _goal_weights(form),
+        _goal_weights(form, tables),
         ["matchid"],
         "left",
         hot=tables.hot_matches,
         spread_by=["playerid", "teamid"],
     )
-    return joined.withColumn("scored", _weights_on_pitch(own=True)).withColumn(
-        "conceded", _weights_on_pitch(own=False)
+    stored = stage(
+        joined.withColumn("scored", _weights_on_pitch(own=True))
+        .withColumn("conceded", _weights_on_pitch(own=False))
+        .drop("weights", "spells", "off_form", "def_form"),
+        "credited",
     )
+    discard(form)
+    return stored
 
 
 def _above(weights: str, baseline: Column) -> Column:
@@ -114,19 +129,21 @@ def _above(weights: str, baseline: Column) -> Column:
     return F.coalesce(total - F.size(weights) * baseline, F.lit(0.0))
 
 
-def ranked_points(tables: Tables, x: int = 1) -> DataFrame:
+def ranked_points(tables: Tables, x: int = 1, stored: DataFrame | None = None) -> DataFrame:
     """Neutral and ranked points per player, match and team.
 
     A goal's weight is measured from a baseline: the lowest defensive form sum any goal was
     scored against, and the highest offensive form sum behind any goal. So ranked offensive
-    points are never negative and ranked defensive points never positive. Both baselines are
-    single values computed within the plan; without goals all ranked points are 0.
+    points are never negative and ranked defensive points never positive. Both baselines come from
+    one pass over the stored weights (``stored``, the result of ``credited`` for the same ``x``, is made
+    when not given); without goals all ranked points are 0.
     """
-    credited = _credited(tables, x)
-    lowest = credited.agg(F.min(F.array_min("scored"))).scalar()
-    highest = credited.agg(F.max(F.array_max("conceded"))).scalar()
-    points = credited.withColumn(RANKED.off, _above("scored", lowest))
-    points = points.withColumn(RANKED.deff, _above("conceded", highest))
+    weights = credited(tables, x) if stored is None else stored
+    ends = weights.agg(
+        F.min(F.array_min("scored")).alias("lowest"), F.max(F.array_max("conceded")).alias("highest")
+    ).first()
+    points = weights.withColumn(RANKED.off, _above("scored", F.lit(ends.lowest).cast("double")))
+    points = points.withColumn(RANKED.deff, _above("conceded", F.lit(ends.highest).cast("double")))
     return points.select(
         *ENTRY,
         "saison",
@@ -141,24 +158,43 @@ def ranked_points(tables: Tables, x: int = 1) -> DataFrame:
     )
 
 
-def neutral_ranked_last_x(tables: Tables, xs: Sequence[int] = (1,), form_x: int = 1) -> DataFrame:
+def neutral_ranked_last_x(
+    tables: Tables,
+    xs: Sequence[int] = (1,),
+    form_x: int | None = None,
+    stored: DataFrame | None = None,
+    compat: bool = False,
+) -> DataFrame:
     """Neutral and ranked rolling columns side by side, both over the matches of the season.
 
-    As both use the same histories, they come from the same windows and need no join.
+    As both use the same histories, they come from the same windows and need no join. The form is
+    that of the largest X unless ``form_x`` says otherwise. With ``compat`` the neutral history is the
+    whole career, and of each player and match only those X are joined whose playtimes in both
+    histories are equal, one X at a time.
     """
+    xs = sorted(xs)
+    points = ranked_points(tables, xs[-1] if form_x is None else form_x, stored)
+    if not compat:
+        return last_x(
+            points, xs, (NEUTRAL, RANKED), scope=SEASON, keep=["tournament"], hot=tables.hot_players
+        )
+    if len(xs) != 1:
+        raise ValueError("the join on equal playtime is defined for a single X")
+    keep = ["saison", "tournament"]
+    career = last_x(points, xs, (NEUTRAL,), keep=keep, hot=tables.hot_players)
+    season = last_x(points, xs, (RANKED,), scope=SEASON, keep=keep[1:], hot=tables.hot_players)
+    return career.join(season, [*ENTRY, *keep, "target_match_timestamp", playtime_col(xs[0])])
+
+
+def ranked_last_x(
+    tables: Tables,
+    xs: Sequence[int] = (1,),
+    form_x: int | None = None,
+    stored: DataFrame | None = None,
+) -> DataFrame:
+    xs = sorted(xs)
     return last_x(
-        ranked_points(tables, form_x),
-        xs,
-        (NEUTRAL, RANKED),
-        scope=SEASON,
-        keep=["tournament"],
-        hot=tables.hot_players,
-    )
-
-
-def ranked_last_x(tables: Tables, xs: Sequence[int] = (1,), form_x: int = 1) -> DataFrame:
-    return last_x(
-        ranked_points(tables, form_x),
+        ranked_points(tables, xs[-1] if form_x is None else form_x, stored),
         xs,
         (RANKED,),
         scope=SEASON,

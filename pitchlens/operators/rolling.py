@@ -44,7 +44,8 @@ def last_x(
     Matches of the same day count as history for one another. ``scope`` says where a history
     ends: the career (``playerid``) or the season (``playerid, saison``). All X share the same
     windows. ``keep`` names further columns to carry along, ``hot`` the players that are too
-    large for one task (found from ``points`` when not given).
+    large for one task (found from ``points`` when not given). Rows without a day, a player or
+    another key of the scope belong to no history and are left out.
     """
     xs = sorted(xs)
     scope = list(scope)
@@ -86,7 +87,7 @@ def last_x(
 
     measured = ["playtime"] + [n for f in families for n in (f.off, f.deff)]
     fixed = list(dict.fromkeys(["playerid", "matchid", "teamid", "matchday", *scope, *keep]))
-    rows = points.filter(F.col("matchday").isNotNull()).select(
+    rows = points.dropna(subset=["playerid", "matchday", *scope]).select(
         *fixed, *[c for c in measured if c not in fixed]
     )
     summed = by_key_size(rows, ["playerid"], usual, heavy, hot=hot, floor_rows=floor_rows)
@@ -122,8 +123,9 @@ def running_sum(
 ) -> DataFrame:
     """Add the running sums ``{new column: value column}`` per key, ordered by day and ``order``.
 
-    For hot keys each day's total is formed first; a row's running sum is the total of all
-    earlier days plus the rows of its own day up to it.
+    A sum is NULL until the first value comes; rows without a day come first. For hot keys each
+    day's total is formed first; a row's running sum is the total of all earlier days plus the
+    rows of its own day up to it.
     """
     keys, order = list(keys), list(order)
 
@@ -138,18 +140,25 @@ def running_sum(
         )
         earlier = W.partitionBy(*keys).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
         before = per_day.withColumns(
-            {f"_{new}": F.coalesce(F.sum(f"_{new}").over(earlier), F.lit(0)) for new in sums}
-        )
+            {f"_{new}": F.sum(f"_{new}").over(earlier) for new in sums}
+        ).withColumnRenamed(day, "_day")
         today = W.partitionBy(*keys, day).orderBy(*order)
         today = today.rowsBetween(W.unboundedPreceding, W.currentRow)
         within = part.withColumns({new: F.sum(value).over(today) for new, value in sums.items()})
-        joined = within.join(before, [*keys, day])
-        return joined.select(
+        before = before.withColumnsRenamed({key: f"_key_{key}" for key in keys})
+        same = F.col(day).eqNullSafe(F.col("_day"))
+        for key in keys:
+            same = same & (F.col(key) == F.col(f"_key_{key}"))
+        both = {
+            new: F.when(
+                F.col(new).isNotNull() | F.col(f"_{new}").isNotNull(),
+                F.coalesce(new, F.lit(0)) + F.coalesce(f"_{new}", F.lit(0)),
+            )
+            for new in sums
+        }
+        return within.join(before, same).select(
             *part.columns,
-            *[
-                (F.col(new) + F.col(f"_{new}")).cast(within.schema[new].dataType).alias(new)
-                for new in sums
-            ],
+            *[both[new].cast(within.schema[new].dataType).alias(new) for new in sums],
         )
 
     return by_key_size(df, keys, usual, heavy, hot=hot, floor_rows=floor_rows)
@@ -163,7 +172,10 @@ def group_total(
     spread_by: Sequence[str] = (),
     floor_rows: int | None = None,
 ) -> DataFrame:
-    """Add to every row the totals ``{new column: value column}`` of its key."""
+    """Add to every row the totals ``{new column: value column}`` of its key.
+
+    Rows without a key are a group of their own.
+    """
     keys = list(keys)
 
     def usual(part: DataFrame) -> DataFrame:
@@ -193,15 +205,16 @@ def as_of(
 ) -> DataFrame:
     """The latest ``right`` row strictly before each ``left`` row's day, per key.
 
-    Rows of ``left`` without an earlier one are dropped; of several right rows on one day the
-    one with the highest id counts. Both sides are stacked and sorted once per key, asking rows
+    Rows of ``left`` without an earlier one, without a day or without a key are dropped; of several
+    right rows on one day the one with the highest id counts. Both sides are stacked and sorted once per key, asking rows
     before the offered ones of their day, so no join is needed. For hot keys both sides are
     reduced to one entry per day first, and the answers joined back by (key, day). ``hot`` may
     name fewer keys; by default it is found from ``left`` and ``right`` together.
     """
     keys = list(keys)
     known = F.struct(F.col(right_day).alias("_as_of"), *values)
-    asking = left.filter(F.col(day).isNotNull())
+    asking = left.dropna(subset=[*keys, day])
+    right = right.dropna(subset=[*keys, right_day])
     known_type = right.select(known.alias("k")).schema["k"].dataType
     # One frame with both: asking rows carry their own columns, offered rows only what they offer.
     rows = asking.withColumn("_offered", F.lit(False)).withColumn(

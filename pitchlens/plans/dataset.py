@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pitchlens.functions.columns import DEFAULT_XS
 from pitchlens.model import features
 from pitchlens.operators.pitch_time import player_time
-from pitchlens.operators.ranked import neutral_ranked_last_x
+from pitchlens.operators.ranked import credited, neutral_ranked_last_x
 from pitchlens.operators.scores import score_with_age
 from pitchlens.schema import Tables
 from pitchlens.sources.adapter import tables_from_orders
@@ -28,6 +28,20 @@ class DataSet:
     def __init__(self, tables: Tables, features_since: int = 2014):
         self.tables = tables
         self.features_since = features_since
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table that ``make`` returns, made and stored once under ``name``."""
+        if name not in self._kept:
+            self._kept[name] = stage(make(), name)
+        return self._kept[name]
+
+    def credited(self, x: int = 1) -> DataFrame:
+        """Goal weights per player and match, for the form of the last ``x`` matches."""
+        name = f"credited-{x}"
+        if name not in self._kept:
+            self._kept[name] = credited(self.tables, x)
+        return self._kept[name]
 
     @cached_property
     def played(self) -> DataFrame:
@@ -41,9 +55,9 @@ class DataSet:
 
     @cached_property
     def results(self) -> DataFrame:
-        """Neutral and ranked rolling columns over the season."""
-        return stage(neutral_ranked_last_x(self.tables), "results")
-
+        """Neutral and ranked rolling columns over the season, in a folder per season."""
+        rows = neutral_ranked_last_x(self.tables, stored=self.credited())
+        return stage(rows, "results", partition_by=("saison",))
 
     @cached_property
     def strength(self) -> DataFrame:
@@ -74,16 +88,29 @@ def result_batch(tables: Tables, folder: str, xs: Sequence[int] = (1,)) -> None:
     write_parquet(neutral_ranked_last_x(tables, xs), f"{folder}/results")
 
 
-_open: dict[tuple[str, str], DataSet] = {}
+_open: dict[tuple, DataSet] = {}
 
 
 # First year of the goal model's matches in the derived data, which start in 1995.
 ORDERS_FEATURES_SINCE = 1996
 
 
+def _state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of the tables in ``folder``: other files, other data set."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(
+        sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(place))
+    )
+
+
 def dataset_of(spark: SparkSession, folder: str) -> DataSet:
-    """The data set derived from the order tables in ``folder``, one per application."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The data set derived from the order tables in ``folder``.
+
+    There is one per application and state of the folder, so stored tables are not served after
+    the files have changed.
+    """
+    key = (spark.sparkContext.applicationId, folder, _state_of(spark, folder))
     if key not in _open:
         _open[key] = DataSet(tables_from_orders(spark, folder), ORDERS_FEATURES_SINCE)
     return _open[key]

@@ -17,6 +17,7 @@ from pitchlens.operators import neutral, pitch_time, ranked, rolling, scores, se
 from pitchlens.plans.dataset import ORDERS_FEATURES_SINCE as FEATURES_SINCE
 from pitchlens.plans.dataset import DataSet, dataset_of
 from pitchlens.reports import careers, coplay, leagues, monthly, overview, trainers
+from pitchlens.schema import SCHEMAS
 from pitchlens.sources import csv_files, parquet
 from pitchlens.staging import new_path, stage
 
@@ -38,7 +39,6 @@ BEST_METRICS = {
     "total_def": "total_ranked_def",
     "avg_def": "avg_ranked_def",
 }
-N_TREES, GRID_TREES, GRID_RATES = 10, (2, 4), (0.1, 0.5)
 
 
 # Digits compared, where other than six: means of means have exact ties at the seventh digit.
@@ -117,6 +117,24 @@ def _load_csv_roundtrip(data, spark, folder):
     return loaded.substitution.join(loaded.match.select("matchid", "matchday"), "matchid")
 
 
+@_query("load_csv_all_tables")
+def _load_csv_all_tables(data, spark, folder):
+    """Every row of every table after a round trip: its table, its values, and how often it occurs."""
+    path = new_path(spark, "csv")
+    csv_files.write_csv_tables(data.tables, path)
+    loaded = csv_files.read_csv_tables(spark, path)
+    rows = None
+    for name, schema in SCHEMAS.items():
+        table = getattr(loaded, name)
+        values = [
+            F.coalesce(F.col(c).cast("string"), F.lit("-")) if c in table.columns else F.lit("-")
+            for c in schema.names
+        ]
+        part = table.select(F.lit(name).alias("name"), F.concat_ws("|", *values).alias("line"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("name", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("write_read_scores")
 def _write_read_scores(data, spark, folder):
     path = new_path(spark, "scores")
@@ -158,15 +176,26 @@ _simple("score_with_age", lambda d: scores.score_with_age(d.tables))
 _POINT_KEYS = ["playerid", "matchid", "teamid"]
 _simple(
     "ranked_off_points",
-    lambda d: ranked.ranked_points(d.tables).select(*_POINT_KEYS, RANKED.off),
+    lambda d: ranked.ranked_points(d.tables, stored=d.credited()).select(*_POINT_KEYS, RANKED.off),
 )
 _simple(
     "ranked_def_points",
-    lambda d: ranked.ranked_points(d.tables).select(*_POINT_KEYS, RANKED.deff),
+    lambda d: ranked.ranked_points(d.tables, stored=d.credited()).select(*_POINT_KEYS, RANKED.deff),
+)
+_simple("ranked_points", lambda d: ranked.ranked_points(d.tables, stored=d.credited()))
+_simple("ranked_last_x", lambda d: ranked.ranked_last_x(d.tables, stored=d.credited()))
+_simple(
+    "neutral_ranked_last_x", lambda d: ranked.neutral_ranked_last_x(d.tables, stored=d.credited())
+)
+_simple("ranked_last_x_5", lambda d: ranked.ranked_last_x(d.tables, (5,), stored=d.credited(5)))
+_simple(
+    "neutral_ranked_last_x_5",
+    lambda d: ranked.neutral_ranked_last_x(d.tables, (5,), stored=d.credited(5)),
+)
+_simple(
+    "neutral_ranked_last_x_5_compat",
+    lambda d: ranked.neutral_ranked_last_x(d.tables, (5,), stored=d.credited(5), compat=True),
 )
-_simple("ranked_points", lambda d: ranked.ranked_points(d.tables))
-_simple("ranked_last_x", lambda d: ranked.ranked_last_x(d.tables))
-_simple("neutral_ranked_last_x", lambda d: ranked.neutral_ranked_last_x(d.tables))
 
 # --- overview ---------------------------------------------------------------------------------
 
@@ -250,13 +279,13 @@ def _season(data: DataSet) -> DataFrame:
 
 
 def _monthly(data: DataSet) -> DataFrame:
-    return monthly.monthly_player(_season(data))
+    return data.kept("monthly", lambda: monthly.monthly_player(_season(data)))
 
 
 _simple("monthly_player", _monthly)
-_simple("month_spine", lambda d: monthly.month_spine(_season(d)))
+_simple("month_spine", lambda d: monthly.month_spine(_monthly(d)))
 _simple(
-    "monthly_average_player", lambda d: monthly.monthly_average_player(_monthly(d), _season(d))
+    "monthly_average_player", lambda d: monthly.monthly_average_player(_monthly(d), _monthly(d))
 )
 _simple("season_performance", lambda d: monthly.season_performance(_monthly(d)))
 for _short, _metric in BEST_METRICS.items():
@@ -269,19 +298,19 @@ for _short, _metric in BEST_METRICS.items():
         lambda d, m=_metric: monthly.worst(monthly.season_performance(_monthly(d)), m),
     )
 _simple(
-    "best5_series", lambda d: monthly.best_series(_monthly(d), _season(d), "total_ranked_off")
+    "best5_series", lambda d: monthly.best_series(_monthly(d), _monthly(d), "total_ranked_off")
 )
 _simple(
     "best5_series_avg_off",
-    lambda d: monthly.best_series(_monthly(d), _season(d), "avg_ranked_off"),
+    lambda d: monthly.best_series(_monthly(d), _monthly(d), "avg_ranked_off"),
 )
 _simple(
     "def_series_shifted",
-    lambda d: monthly.shifted_series(_monthly(d), _season(d), "total_ranked_def"),
+    lambda d: monthly.shifted_series(_monthly(d), _monthly(d), "total_ranked_def"),
 )
 _simple(
     "def_series_shifted_avg",
-    lambda d: monthly.shifted_series(_monthly(d), _season(d), "avg_ranked_def"),
+    lambda d: monthly.shifted_series(_monthly(d), _monthly(d), "avg_ranked_def"),
 )
 _simple(
     "relevant_tournaments",
@@ -369,6 +398,19 @@ for _name, _edges in (
     )
 
 
+_simple(
+    "coplay_edges_compat",
+    lambda d: coplay.coplay_edges(*_graph(d), d.tables.hot_matches, d.tables.hot_players, compat=True),
+)
+
+
+@_query("coplay_export_edges")
+def _coplay_export_edges(data, spark, folder):
+    path = new_path(spark, "edges")
+    csv_files.write_csv(_QUERIES["coplay_edges"](data, spark, folder), path)
+    return spark.read.schema("source bigint, target bigint").option("header", True).csv(path)
+
+
 @_query("coplay_export")
 def _coplay_export(data, spark, folder):
     path = new_path(spark, "nodes")
@@ -392,8 +434,9 @@ def _features(data: DataSet) -> DataFrame:
     return feat.match_features(goals, data.strength)
 
 
-def _split(data: DataSet) -> DataFrame:
-    return training.train_split(feat.match_features_norm(_features(data), keep_ids=True))
+def _split(data: DataSet, compat: bool = False) -> DataFrame:
+    rows = feat.match_features_norm(_features(data), keep_ids=True)
+    return training.train_split(rows, compat=compat)
 
 
 _simple("team_goal_table", lambda d: feat.team_goal_table(d.tables.match, d.tables.goal))
@@ -405,21 +448,29 @@ _simple("match_features", _features)
 _simple("match_features_norm", lambda d: feat.match_features_norm(_features(d)))
 _simple(
     "train_split",
-    lambda d: _split(d).select("matchid", "teamid", "goals", "matchlength", "is_test"),
+    lambda d: _split(d).select("matchid", "teamid", "goals", "matchlength", "is_test", "is_valid"),
+)
+_simple(
+    "train_split_compat",
+    lambda d: _split(d, compat=True).select("matchid", "teamid", "goals", "matchlength", "is_test"),
 )
 
 
+def _stored_split(data: DataSet) -> DataFrame:
+    return data.kept("split", lambda: _split(data))
+
+
 def _predictions(data: DataSet) -> DataFrame:
-    split = training.staged(_split(data))
-    return training.goal_predictions(training.goal_model(split, N_TREES), split)
+    def make() -> DataFrame:
+        split = _stored_split(data)
+        return training.goal_predictions(training.goal_model(split), split)
+
+    return data.kept("predictions", make)
 
 
 _simple("goal_predictions", _predictions)
 _simple("model_errors", lambda d: training.model_errors(_predictions(d)))
-_simple(
-    "model_grid",
-    lambda d: training.model_grid(training.staged(_split(d)), GRID_TREES, GRID_RATES, depth=3),
-)
+_simple("model_grid", lambda d: training.model_grid(_stored_split(d)))
 
 
 def queries() -> dict[str, Query]:

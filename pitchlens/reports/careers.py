@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlens.functions.columns import avg_col, total_col
-from pitchlens.operators.rolling import group_total, running_sum
+from pitchlens.operators.rolling import MATCH_ORDER, group_total, running_sum
 from pitchlens.reports.common import top
 from pitchlens.skew import HotKeys, split_join
 
@@ -30,14 +30,16 @@ def career_curve(
     """
     chosen = profile.filter(F.col("playername").isin(list(names))).select("playerid", "playername")
     rows = split_join(
-        scores.filter(F.col("age") >= min_age).select("playerid", "matchid", DAY, "age", metric),
+        scores.filter(F.col("age") >= min_age).select(
+            "playerid", *MATCH_ORDER, DAY, "age", metric
+        ),
         chosen,
         ["playerid"],
         hot=hot,
         spread_by=["matchid"],
     )
-    curve = running_sum(rows, ["playerid"], DAY, ["matchid"], {"score": metric}, hot=hot)
-    return curve.select("playerid", "playername", "matchid", "age", "score")
+    curve = running_sum(rows, ["playerid"], DAY, MATCH_ORDER, {"score": metric}, hot=hot)
+    return curve.select("playerid", "playername", "matchid", "teamid", "age", "score")
 
 
 def team_minus_player(
@@ -96,10 +98,10 @@ def team_minus_player_curve(
     leaders = team_minus_player_top(compared, n).join(
         profile.select("playerid", "playername"), "playerid"
     )
-    rows = compared.select("playerid", "matchid", DAY, "age", "diff_performance").join(
+    rows = compared.select("playerid", *MATCH_ORDER, DAY, "age", "diff_performance").join(
         F.broadcast(leaders.select("playerid", "playername")), "playerid"
     )
     curve = running_sum(
-        rows, ["playerid"], DAY, ["matchid"], {"score": "diff_performance"}, hot=hot
+        rows, ["playerid"], DAY, MATCH_ORDER, {"score": "diff_performance"}, hot=hot
     )
-    return curve.select("playerid", "playername", "matchid", "age", "score")
+    return curve.select("playerid", "playername", "matchid", "teamid", "age", "score")

@@ -54,6 +54,7 @@ def _pairs(
     hot_matches: HotKeys | None,
     hot_players: HotKeys | None,
     both_ways: bool,
+    distinct: bool = True,
 ) -> DataFrame:
     """Pairs of players with an entry for the same match and team.
 
@@ -61,7 +62,9 @@ def _pairs(
     are no nodes are dropped before the join, and each piece of a large match meets the squad
     separately.
     """
-    ids = nodes.select(F.col("id").alias("playerid")).distinct()
+    ids = nodes.select(F.col("id").alias("playerid"))
+    if distinct:
+        ids = ids.distinct()
     squad = present.select("playerid", "matchid", "teamid")
     # Both sides of the self-join read it, so it is stored once.
     squad = stage(
@@ -84,9 +87,13 @@ def coplay_edges(
     nodes: DataFrame,
     hot_matches: HotKeys | None = None,
     hot_players: HotKeys | None = None,
+    compat: bool = False,
 ) -> DataFrame:
-    """One edge per match, team and ordered pair of players, where both ends are nodes."""
-    pairs = _pairs(present, nodes, hot_matches, hot_players, both_ways=True)
+    """One edge per match, team and ordered pair of players, where both ends are nodes.
+
+    With ``compat`` a player who is listed with several last teams has as many copies of each edge.
+    """
+    pairs = _pairs(present, nodes, hot_matches, hot_players, both_ways=True, distinct=not compat)
     return pairs.select("source", "target")
 
 

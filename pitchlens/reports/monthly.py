@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pitchlens.functions.columns import NEUTRAL, RANKED, avg_col, playtime_col, total_col
 from pitchlens.functions.scalars import month_of, year_of
 from pitchlens.reports.common import top
-from pitchlens.staging import stage
+from pitchlens.staging import small_or_plain, stage
 
 DAY = "target_match_timestamp"
 AVERAGE = "avg"
@@ -50,9 +50,13 @@ def monthly_player(rows: DataFrame, x: int = 1, keys: Sequence[str] = ("playerid
 
 
 def _month_list(rows: DataFrame) -> DataFrame:
-    """One row with ``months``, the array of all months of the years that occur."""
-    first = F.make_date(F.min(F.year(DAY)), F.lit(1), F.lit(1))
-    last = F.make_date(F.max(F.year(DAY)), F.lit(12), F.lit(1))
+    """One row with ``months``, the array of all months of the years that occur.
+
+    ``rows`` may be the results or their months: both have the same years.
+    """
+    day = "time" if "time" in rows.columns else DAY
+    first = F.make_date(F.min(F.year(day)), F.lit(1), F.lit(1))
+    last = F.make_date(F.max(F.year(day)), F.lit(12), F.lit(1))
     months = F.sequence(first, last, F.make_interval(months=F.lit(1)))
     return rows.agg(months.alias("months"))
 
@@ -168,6 +172,8 @@ def chosen_player_series(
     points = [F.col(m) for m in OFFENSIVE]
     players = _series(monthly, chosen, listed, points, OFFENSIVE)
     tournaments = relevant_tournaments(results, list(names), seasons)
+    # There are few tournaments, each with very many rows: these stay where they are.
+    tournaments = small_or_plain(tournaments, "tournaments")
     peers = season.join(tournaments, "tournament", "left_semi")
     average = monthly_average_player(monthly_player(peers, x), chosen, OFFENSIVE)
     return players.unionByName(average.select("time", "name", *OFFENSIVE))

@@ -112,6 +112,10 @@ CSV_COLUMNS: dict[str, dict[str, str]] = {
 }
 
 
+#: Tables that a dump or a database may lack.
+OPTIONAL = ("referee", "trainer", "trainer_name")
+
+
 @dataclass
 class Tables:
     """The input tables of one data set, each a lazy DataFrame in the canonical schema."""

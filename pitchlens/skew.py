@@ -1,12 +1,10 @@
 """Keeping very frequent keys out of single tasks.
 
-A key counts as *hot* when it holds more than ``FLOOR_ROWS`` rows and more than
-1/``MAX_HOT_KEYS`` of all rows. By that definition there are fewer than ``MAX_HOT_KEYS``
-hot keys however large the data is, so the list of them fits a small local table.
-
-The list is found once per data set by counting (key columns only, combined before the
-shuffle) and then decides the shape of the plan: without hot keys every operator is a plain
-join or window; with them, their rows are split over many tasks.
+A key counts as *hot* when it holds more than ``FLOOR_ROWS`` rows, whatever the size of the data.
+The hot keys are found once per data set by counting (key columns only, combined before the shuffle),
+are stored as a table, and decide the shape of the plan: without hot keys every operator is a plain
+join or window; with them, their rows are split over many tasks. There is at most one hot key per
+``FLOOR_ROWS`` rows, and only the number of them reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,42 +15,48 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchlens.staging import stage
+
 FLOOR_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+#: Up to so many hot keys are broadcast to the joins that split them; Spark decides beyond.
+BROADCAST_KEYS = 100_000
 
 
 @dataclass(frozen=True)
 class HotKeys:
     """The hot keys of a frame: key columns and ``parts``, the pieces each is to be split into.
 
-    ``rows`` is None when there are none.
+    ``rows`` is None when there are none, and a stored table of ``number`` rows otherwise.
     """
 
     keys: tuple[str, ...]
     rows: DataFrame | None = None
+    number: int = 0
+
+    def listed(self, *columns: str) -> DataFrame:
+        """The rows for a join, broadcast only if there are few."""
+        rows = self.rows.select(*columns)
+        return F.broadcast(rows) if self.number <= BROADCAST_KEYS else rows
 
     def renamed(self, *keys: str) -> HotKeys:
         """The same keys under other column names."""
         if self.rows is None:
             return HotKeys(keys)
-        return HotKeys(keys, self.rows.withColumnsRenamed(dict(zip(self.keys, keys))))
+        return HotKeys(keys, self.rows.withColumnsRenamed(dict(zip(self.keys, keys))), self.number)
 
 
 def find_hot(df: DataFrame, keys: Sequence[str], floor_rows: int | None = None) -> HotKeys:
-    """Count the rows per key and return the hot ones (fewer than ``MAX_HOT_KEYS``)."""
+    """Count the rows per key and return the keys with more than ``floor_rows`` of them."""
     keys = list(keys)
     floor_rows = FLOOR_ROWS if floor_rows is None else floor_rows
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").cast("double")).scalar()
-    limit = F.greatest(
-        F.lit(float(floor_rows)), F.coalesce(total, F.lit(0.0)) / F.lit(float(MAX_HOT_KEYS))
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > floor_rows)
+    hot = stage(
+        hot.select(*keys, F.ceil(F.col("_n") / F.lit(float(floor_rows))).cast("int").alias("parts")),
+        "hot-keys",
     )
-    hot = counts.filter(F.col("_n") > limit).dropna(subset=keys)
-    hot = hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("parts"))
-    rows = hot.collect()
-    if not rows:
-        return HotKeys(tuple(keys))
-    return HotKeys(tuple(keys), df.sparkSession.createDataFrame(rows, hot.schema))
+    number = hot.count()
+    return HotKeys(tuple(keys), hot, number) if number else HotKeys(tuple(keys))
 
 
 def split_join(
@@ -81,7 +85,7 @@ def split_join(
         return left.join(right, keys, how)
     spread = list(spread_by) or [c for c in left.columns if c not in keys]
     listed = list(hot.keys)
-    parts = F.broadcast(hot.rows.select(*listed, "parts"))
+    parts = hot.listed(*listed, "parts")
     own_part = F.when(
         F.col("parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("parts")).cast("int")
     ).otherwise(0)
@@ -109,7 +113,7 @@ def by_key_size(
         hot = find_hot(df, keys, floor_rows)
     if hot.rows is None:
         return usual(df)
-    listed = F.broadcast(hot.rows.select(*keys))
+    listed = hot.listed(*keys)
     return usual(df.join(listed, keys, "left_anti")).unionByName(
         heavy(df.join(listed, keys, "left_semi"))
     )

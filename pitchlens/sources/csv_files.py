@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchlens.functions.scalars import minute_of_text, number_of_text, parse_day
-from pitchlens.schema import CSV_COLUMNS, CSV_FOLDERS, SCHEMAS, Tables
+from pitchlens.schema import CSV_COLUMNS, CSV_FOLDERS, OPTIONAL, SCHEMAS, Tables
 
 # Tables whose dumps are known to repeat rows.
 _DEDUPED = ("team", "trainer", "trainer_name")
@@ -47,8 +47,19 @@ def read_csv_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return typed.dropDuplicates() if table in _DEDUPED else typed
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_csv_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables(**{name: read_csv_table(spark, folder, name) for name in Tables.names()})
+    """All tables of a dump. Referees, trainers and their names may be absent."""
+    wanted = [
+        name
+        for name in Tables.names()
+        if name not in OPTIONAL or _exists(spark, f"{folder}/{CSV_FOLDERS[name]}")
+    ]
+    return Tables(**{name: read_csv_table(spark, folder, name) for name in wanted})
 
 
 def _as_text(field: T.StructField) -> Column:

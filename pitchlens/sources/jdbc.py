@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlens.schema import SCHEMAS, Tables
+from pitchlens.schema import OPTIONAL, SCHEMAS, Tables
 
 # The numeric column each table is sliced by.
 SLICE_COLUMNS: dict[str, str] = {
@@ -35,6 +37,12 @@ def jdbc_options(
     return options
 
 
+def range_query(table: str) -> str:
+    """SQL for the lowest and highest id of the column that a table is sliced by."""
+    column = SLICE_COLUMNS[table]
+    return f"SELECT min({column}) AS low, max({column}) AS high FROM {table}"
+
+
 def read_jdbc_tables(
     spark: SparkSession,
     url: str,
@@ -42,12 +50,28 @@ def read_jdbc_tables(
     password: str,
     slices: int = 1,
     id_range: dict[str, tuple[int, int]] | None = None,
+    tables: Sequence[str] | None = None,
 ) -> Tables:
-    """All tables of a database. ``id_range`` maps a slice column to its lowest and highest id."""
+    """The tables of a database, by default the seven that every one has.
+
+    ``tables`` names them where there are more: referee, trainer and trainer_name are optional. Large
+    tables are read in ``slices`` at once; where ``id_range`` (slice column to lowest and highest id)
+    does not say how, the database is asked for both ends.
+    """
+
+    def read(options: dict[str, str]) -> DataFrame:
+        return spark.read.format("jdbc").options(**options).load()
+
     loaded = {}
-    for table in Tables.names():
-        options = jdbc_options(table, url, user, password, slices, id_range)
-        df = spark.read.format("jdbc").options(**options).load()
+    for table in tables or [name for name in Tables.names() if name not in OPTIONAL]:
+        ends = dict(id_range or {})
+        column = SLICE_COLUMNS.get(table)
+        if slices > 1 and column and column not in ends:
+            access = {"url": url, "user": user, "password": password}
+            found = read(access | {"query": range_query(table)}).first()
+            if found[0] is not None:
+                ends[column] = (int(found[0]), int(found[1]))
+        df = read(jdbc_options(table, url, user, password, slices, ends))
         known = [f for f in SCHEMAS[table].fields if f.name in df.columns]
         loaded[table] = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in known])
     return Tables(**loaded)

@@ -9,6 +9,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 _stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -42,20 +43,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     For frames that several branches of one plan need: it is computed once, its lineage is
-    cut, and it survives the loss of executors.
+    cut, and it survives the loss of executors. ``partition_by`` names columns that readers filter.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
+    if partition_by:
+        stored = stored.select(*df.columns)
     _stored[stored] = path
     return stored
 
 
+def small_or_plain(df: DataFrame, label: str, most: int = 10_000) -> DataFrame:
+    """Store ``df``, and mark it for a broadcast only if it has at most ``most`` rows."""
+    stored = stage(df, label)
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,6 +2,8 @@ from conftest import as_set, day
 
 from pitchlens.operators.neutral import neutral_points, neutral_points_compat
 from pitchlens.operators.pitch_time import player_time, playtime_by_season, presence_of
+from pitchlens.operators.ranked import ranked_points
+from pitchlens.operators.scores import score_set
 from pitchlens.operators.segments import goalless_segments
 
 TIMES = ("playerid", "in_time", "out_time", "playtime")
@@ -143,3 +145,14 @@ def test_goalless_segments(make_tables):
     assert as_set(goalless_segments(tables), *columns) == {(1, 10, 15), (1, 15, 20)}
     rows = sorted(tuple(r) for r in goalless_segments(tables, True).select(*columns).collect())
     assert rows == [(1, 5, 10), (1, 5, 10), (1, 10, 15), (1, 15, 20)]
+
+
+def test_unknown_players_have_times_but_no_points(make_tables):
+    tables = make_tables(
+        match=[(1, day(0), 10, 20), (2, day(1), 30, 40)],
+        player=[(None, 1, 10), (None, 2, 30), (5, 1, 10), (5, 2, 30)],
+        goal=[(1, 10, 5, None), (2, 30, 9, None)],
+    )
+    assert player_time(tables).filter("playerid is null").count() == 2
+    for rows in (neutral_points(tables), score_set(tables), ranked_points(tables)):
+        assert rows.filter("playerid is null").count() == 0 and rows.count() == 2

@@ -2,14 +2,17 @@
 
 import pytest
 from conftest import FOLDER
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from checks.oracle import oracle_sql
 from checks.verify import compare, connect
 from pitchlens import skew
+from pitchlens.model import training
 from pitchlens.plans import dataset, registry
 from pitchlens.sources import tables_from_orders
 
-ORACLES = entry.oracle_sql()
+ORACLES, QUERIES = oracle_sql(), registry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +21,14 @@ def con():
 
 
 def test_every_query_but_the_trained_ones_has_sql():
-    without = set(entry.queries()) - set(ORACLES)
+    without = set(QUERIES) - set(ORACLES)
     assert without == {"goal_predictions", "model_errors", "model_grid"}
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    outcome = compare(spark, con, FOLDER, name, entry.queries()[name], ORACLES[name])
+    outcome = compare(spark, con, FOLDER, name, QUERIES[name], ORACLES[name])
     assert outcome.startswith("ok"), outcome
 
 
@@ -78,6 +81,15 @@ def test_model_learns_something(spark):
     assert errors.n > 0 and 0 <= errors.mae < 2
 
 
+def test_model_takes_seasons_that_are_no_numbers(spark):
+    split = training.staged(registry._split(dataset.dataset_of(spark, FOLDER)))
+    for season in (F.concat(F.col("saison"), F.lit("/99")), F.lit("none")):
+        model = training.goal_model(split.withColumn("saison", season), n_trees=2)
+        assert training.goal_predictions(model, split).count() > 0
+    assert split.groupBy("matchid").agg(F.countDistinct("is_test").alias("n")).filter("n > 1").count() == 0
+    assert split.filter("is_test and is_valid").count() == 0
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert {"playerid", "matchid", "playtime_last_5", "avg_diff_last_1", "age"} <= set(df.columns)

@@ -87,11 +87,57 @@ def test_split_join_equals_join(spark, how):
     assert parts == {k: -(-n // 20) for k, n in counts.items() if n > 20}
 
 
-def test_number_of_hot_keys_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 4)
+def test_hot_keys_are_a_stored_table(spark):
     _, df = random_points(spark)
     found = skew.find_hot(df, ["playerid"], 1)
-    assert found.rows.count() < 4
+    assert found.number == found.rows.count() == df.select("playerid").distinct().count()
+    assert found.rows.inputFiles()
+    assert skew.find_hot(df, ["playerid"], 10_000).rows is None
+
+
+NULLS = [  # playerid, teamid, saison, matchid, day, value
+    (p, t, s, 10 * i + p if p else i, None if i % 7 == 3 else day(i % 4), None if i % 3 == 0 else i)
+    for i in range(40)
+    for p, t, s in [((1, 2, None)[i % 3], (5, None)[i % 5 == 4], ("2017", None)[i % 4 == 1])]
+]
+NULL_COLUMNS = "playerid bigint, teamid bigint, saison string, matchid bigint, matchday date, v bigint"
+
+
+def both_ways(make, columns):
+    """The rows of a plan with no hot key and with nearly all keys hot."""
+    cold, hot = (make(floor).select(*columns).collect() for floor in (10_000, 3))
+    assert sorted(map(str, cold)) == sorted(map(str, hot))
+    return cold
+
+
+def test_missing_keys_and_values_do_not_depend_on_size(spark):
+    df = spark.createDataFrame(NULLS, NULL_COLUMNS)
+    points = df.selectExpr("*", "90L as playtime", "v as off", "-v as def")
+    for scope in (("playerid",), ("playerid", "saison")):
+        rows = both_ways(
+            lambda floor: last_x(points, (1, 3), scope=scope, keep=["saison"], floor_rows=floor),
+            ["playerid", "saison", "matchid", "target_match_timestamp", "playtime_last_3", "total_off_last_3"],
+        )
+        assert rows and all(r.playerid is not None for r in rows)
+        assert scope == ("playerid",) or all(r.saison is not None for r in rows)
+    sums = both_ways(
+        lambda floor: running_sum(df, ["playerid"], "matchday", ["matchid", "v"], {"s": "v"}, floor_rows=floor),
+        ["playerid", "matchid", "matchday", "v", "s"],
+    )
+    assert len(sums) == len(NULLS) and any(r.s is None for r in sums)
+    both_ways(
+        lambda floor: group_total(df, ["playerid"], {"t": "v"}, floor_rows=floor), ["playerid", "matchid", "t"]
+    )
+    scores = df.selectExpr("playerid", "teamid", "matchid", "matchday as score_date", "v")
+    asked = df.selectExpr("playerid", "teamid", "matchid", "matchday + interval 1 day as matchday", "saison")
+    asked = asked.withColumn("matchday", F.col("matchday").cast("date"))
+    found = both_ways(
+        lambda floor: as_of(
+            asked, scores, ["teamid", "playerid"], "matchday", "score_date", ["v"], floor_rows=floor
+        ),
+        ["playerid", "teamid", "matchid", "_as_of", "v"],
+    )
+    assert found and all(r.playerid is not None and r.teamid is not None for r in found)
 
 
 @pytest.mark.parametrize("floor", [1000, 2])

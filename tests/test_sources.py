@@ -1,7 +1,11 @@
 import datetime
+import os
 
+import pytest
 from conftest import as_set, day
+from pyspark.sql import functions as F
 
+from pitchlens import staging
 from pitchlens.functions import scalars
 from pitchlens.schema import SCHEMAS
 from pitchlens.sources import csv_files, jdbc
@@ -47,6 +51,41 @@ def test_csv_round_trip(spark, make_tables, tmp_path):
     assert as_set(loaded.team, "teamid", "teamname") == {(10, "A")}
 
 
+def test_dump_with_the_seven_tables(spark, make_tables, tmp_path):
+    tables = make_tables(match=[(1, day(0), 10, 20)], player=[(1, 1, 10)])
+    tables.referee = tables.trainer = tables.trainer_name = None
+    csv_files.write_csv_tables(tables, str(tmp_path))
+    loaded = csv_files.read_csv_tables(spark, str(tmp_path))
+    assert loaded.referee is None and loaded.trainer is None and loaded.trainer_name is None
+    assert loaded.player.count() == loaded.match.count() == 1
+
+
+def test_jdbc_asks_for_the_ends_of_its_slices():
+    assert jdbc.range_query("goal") == "SELECT min(matchid) AS low, max(matchid) AS high FROM goal"
+
+
+def test_local_folders_are_refused_on_a_cluster():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Cluster)
+
+
+def test_stored_tables_can_be_discarded(spark):
+    first = staging.stage(spark.range(3), "kept")
+    second = staging.stage(spark.range(3).withColumn("s", F.lit("a")), "kept", ("s",))
+    assert second.columns == ["id", "s"] and second.count() == 3
+    path = first.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    staging.discard(first)
+    assert not os.path.exists(path) and second.count() == 3
+
+
 def test_jdbc_reads_large_tables_in_slices():
     ids = {"matchid": (1, 900)}
     sliced = jdbc.jdbc_options("goal", "jdbc:x", "u", "p", 8, ids)
