@@ -75,7 +75,7 @@ def goal_model(
     n_trees: int = 500,
     rate: float = 0.1,
     depth: int = 4,
-    tolerance: float = 0.01,
+    tolerance: float = 0.0001,
     attributes: Sequence[str] = ATTRIBUTES,
 ) -> PipelineModel:
     """Fit on the training rows; stop adding trees when the error on validation rows stops falling.
