@@ -30,6 +30,29 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
+def among(rows: DataFrame, key: Column, keys: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """Add ``_maybe`` to ``rows``: false only where ``key`` is certainly not in ``keys``.
+
+    ``keys`` has one long column. It is hashed into a bitmap of fixed size at most (8 MB), which is
+    joined by broadcast; few keys make a small one, very many only make it tell less. For rows that
+    would be shuffled for a join in vain.
+    """
+    number = keys.count()
+    words = 1 << max(4, min(most_bits // 64, max(1, number * 16 // 64)).bit_length())
+
+    def place(value: Column) -> tuple[Column, Column]:
+        mixed = F.xxhash64(value)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), mixed.bitwiseAND(F.lit(63)).cast("int"))
+        return F.pmod(F.shiftright(mixed, 6), F.lit(words)), bit
+
+    word, bit = place(keys[keys.columns[0]])
+    bitmap = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = place(key)
+    marked = rows.withColumn("_at", word).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
+    known = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.withColumn("_maybe", known).drop("_at", "_word", "_bits")
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary()).to_pylist()

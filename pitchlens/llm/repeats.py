@@ -8,9 +8,9 @@ Then the ranked strings around an anchor grow, and Spark ranks the positions ane
 
 - an anchor whose rank is unique is dropped: no window around it can repeat;
 - an anchor whose whole surroundings repeat (all windows that hold it) is settled;
-- for the others the windows are split into ranges. What all windows of a range have in common is
-  longer than before (32, 188, then all 200 bytes); ranges with a unique rank drop out, ranges that
-  repeat as a whole are settled, and the rest is split down to single windows.
+- for the others the windows are split into ranges, and those again. What all windows of a range have
+  in common grows (32, 153, 189, 198, then all 200 bytes); ranges with a unique rank drop out, ranges
+  that repeat as a whole are settled, and the rest is split down to single windows.
 
 One anchor stands for all that have equal surroundings, so large groups of copies cost one row beyond
 the first ranking. Ranks are 64-bit hashes, compared only among anchors with an equal first rank.
@@ -20,17 +20,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchlens.llm.common import table
-from pitchlens.staging import stage
+from pitchlens.llm.common import among, table
+from pitchlens.staging import discard, stage
 
-#: Bytes of the first rank, and windows that the ranges of the second rank hold.
-START, RANGE = 32, 13
+#: Bytes of the first rank, and windows in the ranges of each later one (each divides the one before).
+START, RANGES = 32, (48, 12, 3, 1)
 #: Windows that a task hashes at once; a bound on its memory only.
 WINDOWS_AT_ONCE = 1 << 17
 BASE = 0x9E3779B97F4A7C15
@@ -157,55 +158,37 @@ def _surroundings(least: int):
     return run
 
 
-def _ranges(least: int):
-    """The ranges of windows around an anchor: rank of what their windows share, and of all they hold."""
+def _ranges(least: int, width: int):
+    """Ranges of ``width`` windows around an anchor: the rank of what a range's windows share, and of
+    all that they hold (null where the text has only a part of them).
+
+    ``low`` and ``high`` (distances of window starts before the anchor) say what is to be split.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = _flat(batch.column(batch.schema.get_field_index("bytes")))
-            near = batch.column(batch.schema.get_field_index("near")).to_numpy().astype(np.int64)
-            far = batch.column(batch.schema.get_field_index("far")).to_numpy().astype(np.int64)
-            first, last = near // RANGE, far // RANGE
-            n = last - first + 1
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            data, ends = _flat(column["bytes"])
+            near, far, low, high = (
+                column[c].to_numpy().astype(np.int64) for c in ("near", "far", "low", "high")
+            )
+            low, high = np.maximum(low, near), np.minimum(high, far)
+            first, last = low // width, high // width
+            n = np.maximum(last - first + 1, 0)
             own = np.repeat(np.arange(len(near)), n)
             part = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            low, high = part * RANGE, part * RANGE + RANGE - 1
+            low, high = part * width, part * width + width - 1
             spot = ends[:-1][own] + far[own]  # where the anchor is in ``data``
             hashed = Hasher(data)
             core = hashed.of(spot - low, spot - high + least)
-            whole_range = (low >= near[own]) & (high <= far[own])
-            a, b = np.where(whole_range, spot - high, 0), np.where(whole_range, spot - low + least, 0)
-            whole = pa.array(hashed.of(a, b).view(np.int64), mask=~whole_range)
-            take = pa.array(own)
-            kept = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("k1", "k2", "pos", "rank", "single")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(part.astype(np.int32)), pa.array(core.view(np.int64)), whole],
-                ["k1", "k2", "pos", "rank", "single", "part", "core", "whole"],
-            )
-
-    return run
-
-
-def _windows(least: int):
-    """Single windows of the listed ranges of an anchor, with the rank of all their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-            data, ends = _flat(column["bytes"])
-            near, far = (column[c].to_numpy().astype(np.int64) for c in ("near", "far"))
-            part = column["part"].to_numpy().astype(np.int64)
-            low, high = np.maximum(part * RANGE, near), np.minimum(part * RANGE + RANGE - 1, far)
-            n = high - low + 1
-            own = np.repeat(np.arange(len(near)), n)
-            back = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            spot = ends[:-1][own] + far[own] - back
-            value = Hasher(data).of(spot, spot + least)
+            full = (low >= near[own]) & (high <= far[own])
+            a, b = np.where(full, spot - high, 0), np.where(full, spot - low + least, 0)
+            whole = pa.array(hashed.of(a, b).view(np.int64), mask=~full)
             take = pa.array(own)
-            kept = [column[c].take(take) for c in ("k1", "k2", "pos", "rank", "single")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(back.astype(np.int32)), pa.array(value.view(np.int64))],
-                ["k1", "k2", "pos", "rank", "single", "back", "whole"],
+                [*(column[c].take(take) for c in ("id", "rank", "single")),
+                 pa.array(part.astype(np.int32)), pa.array(core.view(np.int64)), whole],
+                ["id", "rank", "single", "part", "core", "whole"],
             )
 
     return run
@@ -237,11 +220,53 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+SPLIT = "id long, rank long, single boolean, part int, core long, whole long"
+
+
+def _settle(todo: DataFrame, least: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """One round of ranking: windows that repeat (``id``, ``low``, ``high``), and ranges to be split.
+
+    ``todo`` has the bytes around each anchor and the range to be looked at. Both results are stored.
+    """
+    ranges = todo.mapInArrow(_ranges(least, width), SPLIT)
+    cores = ranges.groupBy("rank", "part", "core").agg(
+        F.count(F.lit(1)).alias("n"),
+        ((F.count("whole") == F.count(F.lit(1))) & (F.min("whole") == F.max("whole"))).alias("alike"),
+    )
+    cores = cores.filter("n > 1").select(
+        "rank", "part", "core", F.coalesce("alike", F.lit(False)).alias("alike")
+    )
+    cores = stage(cores, "repeat-cores")
+    alive = stage(ranges.join(cores, ["rank", "part", "core"]), "repeat-alive")
+    discard(cores)
+    mixed = alive.filter("not alike")
+    wholes = mixed.filter("whole is not null").groupBy("rank", "part", "whole").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "single")).alias("p")
+    )
+    wholes = stage(wholes, "repeat-wholes")
+    copied = mixed.filter("single").join(
+        wholes.filter("n > 1").select("rank", "part", "whole"), ["rank", "part", "whole"]
+    )
+    low, high = F.col("part") * width, F.col("part") * width + width - 1
+    range_ = ("id", low.alias("low"), high.alias("high"))
+    settled = alive.filter("alike and single").select(*range_).unionByName(copied.select(*range_))
+    settled = stage(settled, "repeat-settled")
+    # One anchor stands for those whose ranges are equal; as their range is settled, it is no longer
+    # single, but the others still have to meet it.
+    left = wholes.select(
+        "part", "p.id", (F.col("p.single") & (F.col("n") == 1)).alias("single")
+    ).unionByName(mixed.filter("whole is null").select("part", "id", "single"))
+    left = stage(left.select("id", "single", low.alias("low"), high.alias("high")), "repeat-left")
+    discard(alive, wholes)
+    return settled, left
+
+
 def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
-    """Byte spans (``k1``, ``k2``, ``start``, ``stop``) that windows which occur twice cover.
+    """Byte spans of windows that occur twice: ``k1``, ``k2`` and ``spans`` (array of start, stop).
 
     ``texts``: ``k1``, ``k2`` (hash and length of the text) and ``data`` (its bytes). A key may have
-    several rows, which are copies and hence repeats of one another. Spans may overlap.
+    several rows, which are copies and hence repeats of one another. Spans may overlap. Tables are
+    deleted as soon as no later step reads them.
     """
     anchors = stage(
         texts.filter(F.col("k2") >= least).select("k1", "k2", "data").mapInArrow(
@@ -253,78 +278,54 @@ def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("around").alias("a"), F.max("around").alias("b")
     )
     ranks = ranks.filter("n > 1").select("rank", (F.col("a") == F.col("b")).alias("alike"))
-    shared = stage(anchors.join(stage(ranks, "repeat-ranks"), "rank"), "repeat-shared")
-
-    def span(back_first, back_last):
-        return F.struct(
-            (F.col("pos") - back_last).alias("start"), (F.col("pos") - back_first + least).alias("stop")
-        )
-
-    def spans(rows: DataFrame, back_first, back_last) -> DataFrame:
-        return rows.select("k1", "k2", span(back_first, back_last).alias("s")).select("k1", "k2", "s.*")
+    ranks = stage(ranks, "repeat-ranks")
+    likely = among(anchors, F.col("rank"), ranks.select("rank")).filter("_maybe").drop("_maybe")
+    shared = stage(likely.join(ranks, "rank"), "repeat-shared")
+    discard(anchors, ranks)
 
-    settled = spans(shared.filter("alike"), F.col("near"), F.col("far"))
     mixed = shared.filter("not alike").drop("alike")
     place = F.struct("k1", "k2", "pos", "near", "far")
     classes = mixed.groupBy("rank", "around").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"))
     classes = stage(classes, "repeat-classes")
     copied = mixed.join(classes.filter("n > 1").select("rank", "around"), ["rank", "around"])
-    settled = settled.unionByName(spans(copied, F.col("near"), F.col("far")))
+    start, stop = (F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("near") + least).alias("stop")
+    settled = shared.filter("alike").select("k1", "k2", start, stop)
+    settled = settled.unionByName(copied.select("k1", "k2", start, stop))
 
     # One anchor of each class, with the bytes around it.
-    ones = classes.select("rank", "p.*", (F.col("n") == 1).alias("single"))
-    spots = ones.groupBy("k1", "k2").agg(
+    spots = classes.select("rank", "p.*", (F.col("n") == 1).alias("single")).groupBy("k1", "k2").agg(
         F.collect_list(F.struct("pos", "near", "far", "rank", "single")).alias("spots")
     )
-    once = texts.groupBy("k1", "k2").agg(F.first("data").alias("data"))
-    cut = once.join(spots, ["k1", "k2"]).select("data", "k1", "k2", "spots").mapInArrow(
+    spots = stage(spots, "repeat-spots")
+    likely = among(texts, F.col("k1"), spots.select("k1")).filter("_maybe").drop("_maybe")
+    once = likely.groupBy("k1", "k2").agg(F.first("data").alias("data"))
+    around = once.join(spots, ["k1", "k2"]).select("data", "k1", "k2", "spots").mapInArrow(
         _surroundings(least),
         "k1 long, k2 long, pos int, near int, far int, rank long, single boolean, bytes binary",
     )
-    cut = stage(cut, "repeat-surroundings")
-
-    # Second rank: what the windows of a range share, and all they hold.
-    ranges = stage(
-        cut.mapInArrow(
-            _ranges(least),
-            "k1 long, k2 long, pos int, rank long, single boolean, part int, core long, whole long",
-        ),
-        "repeat-ranges",
-    )
-    cores = ranges.groupBy("rank", "part", "core").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.count("whole") == F.count(F.lit(1))).alias("full"),
-        (F.min("whole") == F.max("whole")).alias("same"),
-    )
-    cores = cores.filter("n > 1").select(
-        "rank", "part", "core", F.coalesce(F.col("full") & F.col("same"), F.lit(False)).alias("alike")
-    )
-    alive = stage(ranges.join(stage(cores, "repeat-cores"), ["rank", "part", "core"]), "repeat-alive")
-    first, last = F.col("part") * RANGE, F.col("part") * RANGE + RANGE - 1
-    settled = settled.unionByName(spans(alive.filter("alike and single"), first, last))
-    mixed = alive.filter("not alike").drop("alike", "core")
-    place = F.struct("k1", "k2", "pos", "single")
-    wholes = mixed.filter("whole is not null").groupBy("rank", "part", "whole").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("p")
-    )
-    wholes = stage(wholes, "repeat-wholes")
-    copied = mixed.filter("single").join(
-        wholes.filter("n > 1").select("rank", "part", "whole"), ["rank", "part", "whole"]
+    around = stage(around.withColumn("id", F.monotonically_increasing_id()), "repeat-surroundings")
+    discard(spots)
+
+    todo = around.withColumn("low", F.col("near")).withColumn("high", F.col("far"))
+    found, left = [], None
+    for width in RANGES:
+        more, next_left = _settle(todo, least, width)
+        found.append(more)
+        if left is not None:
+            discard(left)
+        left = next_left
+        todo = around.drop("single").join(left, "id")
+    places = around.select("id", "k1", "k2", "pos")
+    windows = reduce(DataFrame.unionByName, found).join(places, "id").select(
+        "k1", "k2",
+        (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + least).alias("stop"),
     )
-    settled = settled.unionByName(spans(copied, first, last))
-
-    # Last rank: single windows of the ranges that are left, one anchor for equal ones.
-    left = wholes.select(
-        "rank", "part", "p.k1", "p.k2", "p.pos", (F.col("p.single") & (F.col("n") == 1)).alias("single")
-    ).unionByName(mixed.filter("whole is null").select("rank", "part", "k1", "k2", "pos", "single"))
-    windows = cut.drop("single").join(left, ["k1", "k2", "pos", "rank"]).mapInArrow(
-        _windows(least), "k1 long, k2 long, pos int, rank long, single boolean, back int, whole long"
+    spans = settled.unionByName(windows).groupBy("k1", "k2").agg(
+        F.collect_set(F.struct("start", "stop")).alias("spans")
     )
-    windows = stage(windows, "repeat-windows")
-    again = windows.groupBy("rank", "back", "whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    last_ones = windows.filter("single").join(stage(again, "repeat-last"), ["rank", "back", "whole"])
-    settled = settled.unionByName(spans(last_ones, F.col("back"), F.col("back")))
-    return settled.distinct()
+    spans = stage(spans, "repeat-spans")
+    discard(shared, classes, around, left, *found)
+    return spans
 
 
 def without_repeats(
@@ -342,14 +343,19 @@ def without_repeats(
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
     rows = rows.withColumn("k1", F.xxhash64("data")).withColumn("k2", F.octet_length("data").cast("long"))
-    spans = repeated_spans(rows.drop("doc_id"), least).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("start", "stop")).alias("spans")
-    )
-    spans = stage(spans, "repeat-spans")
-    return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "data", "spans").mapInArrow(
+    spans = repeated_spans(rows.drop("doc_id"), least)
+    marked = among(rows, F.col("k1"), spans.select("k1"))
+    cut = marked.filter("_maybe").join(spans, ["k1", "k2"], "left").select("doc_id", "data", "spans")
+    cut = cut.mapInArrow(
         _cut,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
     )
+    nothing = F.lit(0).cast("long")
+    whole = marked.filter("not _maybe").select(
+        "doc_id", F.col("k2").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"),
+        F.sha2("data", 256).alias("kept_sha256"), F.col("data").alias("kept"),
+    )
+    return cut.unionByName(whole)
 
 
 def repeats_query(spark, folder: str) -> DataFrame:
