@@ -33,12 +33,12 @@ def free_name(wanted: str, taken: list[str]) -> str:
 def among(rows: DataFrame, key: Column, keys: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
     """Add ``_maybe`` to ``rows``: false only where ``key`` is certainly not in ``keys``.
 
-    ``keys`` has one long column. It is hashed into a bitmap of fixed size at most (8 MB), which is
-    joined by broadcast; few keys make a small one, very many only make it tell less. For rows that
-    would be shuffled for a join in vain.
+    ``keys`` has one long column. It is hashed into a bitmap, a table of at most ``most_bits`` / 64 rows
+    (a million), which is joined by broadcast; few keys make a small one, very many only make it tell
+    less. For rows that would be shuffled for a join in vain.
     """
-    number = keys.count()
-    words = 1 << max(4, min(most_bits // 64, max(1, number * 16 // 64)).bit_length())
+    wanted = keys.count() * 16 // 64
+    words = 1 << (max(16, min(most_bits // 64, wanted)) - 1).bit_length()
 
     def place(value: Column) -> tuple[Column, Column]:
         mixed = F.xxhash64(value)
