@@ -75,8 +75,11 @@ class _Known(dict):
 
 
 def sparse(text: str | None, known: _Known) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a whole text and their values, log(1 + distinct words that have them)."""
-    counts = Counter(f for w in set((text or "").lower().split()) for f in known[w])
+    """Features of a whole text and their values, log(1 + occurrences of words that have them)."""
+    counts: dict[int, int] = {}
+    for word, n in Counter((text or "").lower().split()).items():
+        for feature in known[word]:
+            counts[feature] = counts.get(feature, 0) + n
     index = np.fromiter(counts.keys(), np.int64, len(counts))
     return index, np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
 
@@ -98,7 +101,7 @@ class OrdinalModel:
 
 def fit_ordinal(
     rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, features: int,
-    levels: int, ridge: float = 3e-4, steps: int = 400, rate: float = 0.05,
+    levels: int, ridge: float = 1e-4, steps: int = 400, rate: float = 0.05,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient descent (Adam) on the mean negative log-likelihood.
 
