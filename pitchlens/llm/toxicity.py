@@ -98,6 +98,14 @@ class OrdinalModel:
         ends = np.zeros((len(score), 1)), np.ones((len(score), 1))
         return np.diff(np.hstack([ends[0], below, ends[1]]), axis=1)
 
+    def scores(self, texts: list[str | None], known: _Known) -> np.ndarray:
+        found = [sparse(t, known) for t in texts]
+        return np.array([float(v @ self.weights[f]) if len(f) else 0.0 for f, v in found])
+
+    def rejects(self, score: np.ndarray, least: float) -> np.ndarray:
+        """Whether a text is toxic: likely so, and because of features that speak for it."""
+        return (score > 0) & (1 - self.probabilities(score)[:, 0] >= least)
+
 
 def fit_ordinal(
     rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, features: int,
@@ -199,39 +207,41 @@ def fit(
     return OrdinalModel(index, weights, cuts)
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``severity`` (expected grade), ``grade`` (most likely) and ``p_toxic`` of every row.
+def score(
+    docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5
+) -> DataFrame:
+    """``doc_id``, ``severity`` (expected grade), ``grade`` (most likely), ``p_toxic`` and ``toxic``.
 
-    Whole texts count. A null or blank text has no features and gets the model's base chances; a
-    row without an id keeps its null; repeated rows get equal results.
+    A row per row of ``docs``; whole texts count. ``toxic`` says that ``p_toxic`` is ``least`` or more because
+    of what the text holds. A null or blank text has no features, gets the model's base chances and is
+    not toxic; a row without an id keeps its null; repeated rows get equal results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model.index)
         for batch in batches:
-            found = [sparse(t, known) for t in batch.column(1).to_pylist()]
-            total = np.array([float(v @ model.weights[f]) if len(f) else 0.0 for f, v in found])
+            total = model.scores(batch.column(1).to_pylist(), known)
             chance = model.probabilities(total)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(chance @ np.arange(chance.shape[1])),
-                 pa.array(chance.argmax(axis=1).astype(np.int32)), pa.array(1 - chance[:, 0])],
-                ["doc_id", "severity", "grade", "p_toxic"],
+                 pa.array(chance.argmax(axis=1).astype(np.int32)), pa.array(1 - chance[:, 0]),
+                 pa.array(model.rejects(total, least))],
+                ["doc_id", "severity", "grade", "p_toxic", "toxic"],
             )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double")
+    return picked.mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def clean_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose chance to be toxic is below ``least``, with all their columns."""
-    names = docs.columns
+    """The rows of ``docs`` that ``score`` does not call toxic, with all their columns."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model.index)
         for batch in batches:
-            found = [sparse(t, known) for t in batch.column(names.index(text_col)).to_pylist()]
-            total = np.array([float(v @ model.weights[f]) if len(f) else 0.0 for f, v in found])
-            yield batch.filter(pa.array(1 - model.probabilities(total)[:, 0] < least))
+            total = model.scores(batch.column(at).to_pylist(), known)
+            yield batch.filter(pa.array(~model.rejects(total, least)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -240,4 +250,4 @@ def toxicity_query(spark, folder: str) -> DataFrame:
     """op9: expected severity of every document; ``toxic`` says which ones the pipeline rejects."""
     docs = table(spark, folder, "documents")
     model = fit(docs, table(spark, folder, "labels"))
-    return score(docs, model).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return score(docs, model)
