@@ -33,15 +33,16 @@ def goalless_segments(tables: Tables, compat: bool = False) -> DataFrame:
             F.inline("spells"),
         )
     )
-    starts = F.sequence(
-        F.lit(0), F.lit(LAST_MINUTE - SEGMENT_MINUTES), F.lit(SEGMENT_MINUTES)
-    )
+    # Only the whole segments between coming on and going off (or the end of the match) are made.
+    known = rows.dropna(subset=["in_time", "out_time", "matchlength"])
+    minutes = F.lit(SEGMENT_MINUTES)
+    first = (F.ceil(F.greatest("in_time", F.lit(0)) / minutes) * minutes).cast("int")
+    end = F.least("out_time", "matchlength", F.lit(LAST_MINUTE))
+    last = ((F.floor(end / minutes) - 1) * minutes).cast("int")
     cut = (
-        rows.withColumn("segment_from", F.explode(starts))
+        known.filter(last >= first)
+        .withColumn("segment_from", F.explode(F.sequence(first, last, minutes)))
         .withColumn("segment_to", F.col("segment_from") + SEGMENT_MINUTES)
-        .filter(F.col("matchlength") >= F.col("segment_to"))
-        .filter(F.col("segment_from") >= F.col("in_time"))
-        .filter(F.col("segment_to") <= F.col("out_time"))
     )
     conceded = F.expr(
         """
