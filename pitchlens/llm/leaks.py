@@ -2,7 +2,8 @@
 
 The benchmark is the query set: it is processed in blocks of bounded size, each against all
 documents. A block's n-grams are counted over all documents first; of every few neighbouring n-grams
-of an item the rarest is its seed. Where a seed occurs in a document, the passage around it is
+of an item all but the most common are seeds. (Only the rarest would not do: those that an edited
+copy has broken are the rarest.) Where a seed occurs in a document, the passage around it is
 aligned with the item word by word, so edited copies are found too. There is no upper limit on how
 common a seed may be, as it is only ever chosen against its neighbours.
 """
@@ -25,7 +26,7 @@ from pitchlens.staging import stage
 BLOCK_WORDS = 500_000
 #: An item of more words is matched in parts of about so many.
 PART_WORDS = 64
-#: Of so many neighbouring n-grams the rarest is a seed.
+#: Of so many neighbouring n-grams the most common is no seed.
 NEIGHBOURS = 4
 #: Raw words that a task remembers; a bound on its memory only.
 WORDS_AT_ONCE = 500_000
@@ -122,10 +123,12 @@ def choose_seeds(block: Block, grams: np.ndarray, often: np.ndarray) -> tuple[np
         value, at = block.grams(ids)
         count = often[np.searchsorted(grams, value)]
         for k in range(0, len(value), NEIGHBOURS):
-            best = k + int(np.argmin(count[k : k + NEIGHBOURS]))
-            seeds.append(value[best])
-            part_of.append(i)
-            offsets.append(at[best])
+            near = np.arange(k, min(k + NEIGHBOURS, len(value)))
+            if len(near) > 1:
+                near = np.delete(near, int(np.argmax(count[near])))
+            seeds.extend(value[near])
+            part_of.extend([i] * len(near))
+            offsets.extend(at[near])
     order = np.argsort(np.array(seeds, np.int64), kind="stable")
     return tuple(np.array(x, np.int64)[order] for x in (seeds, part_of, offsets))
 
