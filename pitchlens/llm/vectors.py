@@ -1,9 +1,11 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Each tree splits the vectors again and again at the median of a random direction; vectors near a
-split go to both sides (spill). Vectors are compared only with those of their leaves, and every
-pair that is near enough is verified by its cosine. Over many trees a near pair is missed only if
-each of them separates it beyond the spill.
+split go to both sides (spill). The spill is at least as wide as the distance of a pair at the threshold, and
+a node that it would nearly cover is not split: a dense group stays whole, however large. Vectors are
+compared only with those of their leaves, large leaves block by block, and every pair that is near
+enough is verified by its cosine. Over many trees a near pair is missed only if each of them
+separates it beyond the spill.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlens.llm.common import component_labels, table
@@ -26,12 +28,19 @@ FIT_ROWS, FIT_NUMBERS = 20_000, 4_000_000
 BLOCK_ROWS = 1024
 #: Cosines that are held at once.
 CELLS_AT_ONCE = 1 << 22
+#: A node is not split in a direction in which one side would get more of it.
+SIDE = 0.7
 
 
 class Forest:
-    """``trees`` trees of ``depth`` levels: a direction for each level, a median for each node."""
+    """``trees`` trees of ``depth`` levels: a direction for each level, a median for each node.
 
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, spill: float, seed: int):
+    Vectors within ``spill`` (a share of the node) or ``margin`` (a distance) of the median go to both
+    sides. The difference of a pair at distance x has the standard deviation x in a direction. A node
+    that is not split passes whole to its left side.
+    """
+
+    def __init__(self, sample: np.ndarray, trees: int, depth: int, spill: float, margin: float, seed: int):
         rng = np.random.default_rng(seed)
         dims = sample.shape[1] if sample.size else 1
         self.depth = depth
@@ -45,11 +54,16 @@ class Forest:
                 below = []
                 for i, rows in enumerate(members):
                     node = (1 << level) - 1 + i
-                    own = shadow[rows] if len(rows) else shadow
+                    own = shadow[rows]
                     if len(own):
                         low, mid, high = np.quantile(own, [0.5 - spill, 0.5, 0.5 + spill])
+                        low, high = min(low, mid - margin), max(high, mid + margin)
+                        if max((own <= high).mean(), (own > low).mean()) > SIDE:
+                            low = mid = high = np.inf
                         self.middle[t, node], self.low[t, node], self.high[t, node] = mid, low, high
-                    below += [rows[own <= mid], rows[own > mid]] if len(rows) else [rows, rows]
+                        below += [rows[own <= high], rows[own > low]]
+                    else:
+                        below += [rows, rows]
                 members = below
 
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +126,38 @@ def _compare(least: float):
         dims, leaf = group["dims"][0].as_py(), group["leaf"][0].as_py()
         unit = _unit(group["vec"].combine_chunks(), dims)
         node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
-        block = group["block"].to_numpy()
-        one = block == block.min()
-        ways = [np.flatnonzero(one), np.flatnonzero(~one)]
-        if not len(ways[1]):
-            ways[1] = ways[0]
-        lists = group["leaves"].to_pylist()
+        block, x, y = group["block"].to_numpy(), group["x"][0].as_py(), group["y"][0].as_py()
+        left = np.flatnonzero(block == x)
+        right = left if x == y else np.flatnonzero(block == y)
+        lists = [[f for f in all_of if f < leaf] for all_of in group["leaves"].to_pylist()]
         width = max(map(len, lists))
         earlier = np.full((len(lists), width), -1)
-        for i, x in enumerate(lists):
-            before = [y for y in x if y < leaf]
+        for i, before in enumerate(lists):
             earlier[i, : len(before)] = before
+        within = None
         n_links = np.zeros(len(node), np.int64)
-        a_all, b_all = [], []
-        left, right = ways
+        a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = max(1, CELLS_AT_ONCE // max(1, len(right)))
         for i in range(0, len(left), step):
             part = left[i : i + step]
-            p, q = np.nonzero(unit[part] @ unit[right].T >= least)
+            near = unit[part] @ unit[right].T >= least
+            if left is right:
+                near &= part[:, None] < right
+            p, q = np.nonzero(near)
             p, q = part[p], right[q]
-            keep = p < q if ways[0] is ways[1] else p != q
-            p, q = p[keep], q[keep]
             a_all.append(p)
             b_all.append(q)
+            if len(p) * 16 > near.size:  # many links: whole rows at once
+                if within is None:
+                    known, place = np.unique(earlier, return_inverse=True)
+                    within = np.zeros((len(node), len(known)), np.float32)
+                    within[np.repeat(np.arange(len(node)), width), place.ravel()] = 1
+                    within = within[:, known >= 0]
+                near &= within[part] @ within[right].T == 0
+                weight = near.astype(np.float64)
+                n_links[part] += (weight @ copies[right]).astype(np.int64)
+                n_links[right] += (copies[part] @ weight).astype(np.int64)
+                continue
             new = np.ones(len(p), bool)
             for k in range(width):
                 own = earlier[p, k]
@@ -171,7 +194,8 @@ def near_vectors(
     An empty table gives no rows. Further columns are not read.
 
     The trees are fitted on ``FIT_ROWS`` vectors (those with the smallest hashes); all are indexed.
-    Leaves of more than 2 x ``BLOCK_ROWS`` vectors are compared block by block in tasks of their own.
+    Leaves of more than 2 x ``BLOCK_ROWS`` vectors are compared block by block in tasks of their own,
+    but blocks of vectors that share an earlier large leaf are not compared again.
     """
     spark = vectors.sparkSession
     usable = (
@@ -198,6 +222,7 @@ def near_vectors(
     nodes = nodes.withColumn("dims", F.size("vec"))
 
     sizes = nodes.groupBy("dims", "label").count().groupBy("dims").agg(F.max("count").alias("n"))
+    margin = math.sqrt(max(0.0, 2 - 2 * least)) / 2
     forests = {}
     for dims, largest in sorted(sizes.toLocalIterator()):
         some = max(1, min(FIT_ROWS, FIT_NUMBERS // dims))
@@ -206,30 +231,49 @@ def near_vectors(
         unit = _unit(sample, dims)
         wanted = math.ceil(math.log2(max(1, largest / leaf_rows)))
         depth = min(max(0, wanted), max(0, int(math.log2(max(1, len(unit) / 16)))))
-        forests[dims] = Forest(unit, trees, depth, spill, seed)
+        forests[dims] = Forest(unit, trees, depth, spill, margin, seed)
 
     placed = nodes.select("node", "vec", "label", "dims")
     homes = placed.mapInArrow(_assign(forests), "node long, dims int, leaves array<long>")
     homes = stage(homes, "vector-leaves")
     full = nodes.select("node", "vec", "label", "copies").join(homes, "node")
-    single = full.withColumn("leaf", F.explode("leaves"))
-    counted = nodes.select("node", "label").join(homes, "node").withColumn("leaf", F.explode("leaves"))
-    counted = counted.groupBy("label", "dims", "leaf").count()
-    large = counted.filter(F.col("count") > 2 * BLOCK_ROWS)
-    large = stage(
-        large.select(
-            F.col("label").alias("_l"), F.col("dims").alias("_d"), F.col("leaf").alias("_f"),
-            F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"),
-        ),
-        "vector-large-leaves",
+    places = nodes.select("node", "label").join(homes, "node").withColumn("leaf", F.explode("leaves"))
+    places = places.drop("leaves")
+    leaf = ["label", "dims", "leaf"]
+    large = places.groupBy(*leaf).count().filter(F.col("count") > 2 * BLOCK_ROWS).drop("count")
+    inside = places.join(stage(large, "vector-large-leaves"), leaf)
+    firsts = stage(inside.groupBy("node").agg(F.min("leaf").alias("first")), "vector-first-leaves")
+    # Blocks of a large leaf: of the vectors with the same earlier large leaf, if many, and of all others.
+    kinds = inside.join(firsts, "node").groupBy(*leaf, "first").count()
+    many = (F.col("first") < F.col("leaf")) & (F.col("count") > 2 * BLOCK_ROWS)
+    kinds = kinds.withColumn("kind", F.when(many, F.col("first")).otherwise(F.lit(-1).cast("long")))
+    kinds = kinds.groupBy(*leaf, "kind").agg(F.ceil(F.sum("count") / BLOCK_ROWS).cast("int").alias("blocks"))
+    kinds = kinds.groupBy(*leaf).agg(F.array_sort(F.collect_list(F.struct("kind", "blocks"))).alias("kinds"))
+    kinds = stage(kinds, "vector-blocks")
+
+    def until(n: Column) -> Column:
+        return F.aggregate(F.slice("kinds", F.lit(1), n), F.lit(0), lambda total, k: total + k["blocks"])
+
+    single = full.join(firsts, "node", "left").withColumn("leaf", F.explode("leaves")).join(kinds, leaf, "left")
+    names = F.col("kinds")["kind"]
+    own = F.array_position(names, F.coalesce("first", F.lit(-1).cast("long"))).cast("int")
+    single = single.withColumn("own", F.when(own > 0, own).otherwise(1))  # -1 comes first
+    open_ = F.element_at("kinds", F.col("own"))["kind"] < 0
+    single = single.withColumns({
+        "start": F.coalesce(until(F.col("own") - 1), F.lit(0)),
+        "stop": F.coalesce(until(F.col("own")), F.lit(1)),
+        "every": F.coalesce(until(F.size("kinds")), F.lit(1)),
+        "open": F.coalesce(open_, F.lit(True)),
+    })
+    hashed = F.pmod(F.xxhash64("node"), F.col("stop") - F.col("start"))
+    single = single.withColumn("block", (F.col("start") + hashed).cast("int"))
+    met = F.filter(
+        F.sequence(F.lit(0), F.col("every") - 1),
+        lambda b: F.col("open") | (b < F.col("start")) | (b >= F.col("stop")),
     )
-    on = (F.col("label") == F.col("_l")) & (F.col("dims") == F.col("_d")) & (F.col("leaf") == F.col("_f"))
-    single = single.join(large, on, "left").drop("_l", "_d", "_f")
-    blocks = F.coalesce("blocks", F.lit(1))
-    single = single.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    pairs = single.withColumn("other", other).withColumn("x", F.least("block", "other"))
-    pairs = pairs.withColumn("y", F.greatest("block", "other")).drop("other", "blocks")
+    pairs = single.withColumn("other", F.explode(met)).withColumn("x", F.least("block", "other"))
+    pairs = pairs.withColumn("y", F.greatest("block", "other"))
+    pairs = pairs.select("node", "vec", "label", "copies", "dims", "leaves", "leaf", "block", "x", "y")
     found = pairs.groupBy("label", "dims", "leaf", "x", "y").applyInArrow(
         _compare(least), "node long, root long, links long"
     )

@@ -152,6 +152,39 @@ def test_vectors_against_brute_force(spark, monkeypatch, leaf_rows, block):
         assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == expected
 
 
+def noisy_group(n, dims, noise, seed=8):
+    """Unit vectors, the first third of them a dense group."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, dims))
+    centre = rng.standard_normal(dims)
+    v[: n // 3] = centre / np.linalg.norm(centre) + v[: n // 3] * noise / np.sqrt(dims)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("noise", [0.24, 0.27, 0.32])
+def test_dense_groups_share_leaves(noise):
+    v = noisy_group(60_000, 64, noise)
+    forest = vectors.Forest(v[::3], 8, 8, 0.07, np.sqrt(2 - 2 * 0.93) / 2, 5)
+    rows, leaves = forest.leaves(v[:20_000])
+    homes = {}
+    for r, leaf in zip(rows.tolist(), leaves.tolist()):
+        homes.setdefault(r, set()).add(leaf)
+    pairs = np.random.default_rng(9).integers(0, 20_000, (20_000, 2))
+    near = [(a, b) for a, b in pairs.tolist() if a != b and v[a] @ v[b] >= 0.93]
+    assert len(near) > 1000
+    assert sum(bool(homes[a] & homes[b]) for a, b in near) >= 0.99 * len(near)
+
+
+def test_dense_group_in_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    v = noisy_group(3000, 32, 0.27)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, leaf_rows=16).collect()}
+    true = (v @ v.T >= 0.93).sum(1) - 1
+    found = np.array([got[i] for i in range(3000)])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() > 0
+
+
 def test_vectors_of_an_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
