@@ -1,11 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages.
 
 The benchmark is the query set: it is processed in blocks of bounded size, each against all
-documents. A block's n-grams are counted over all documents first; of every few neighbouring n-grams
-of an item all but the most common are seeds. (Only the rarest would not do: those that an edited
-copy has broken are the rarest.) Where a seed occurs in a document, the passage around it is
-aligned with the item word by word, so edited copies are found too. There is no upper limit on how
-common a seed may be, as it is only ever chosen against its neighbours.
+documents. Every n-gram of an item is a seed, as any of them may be the only one that an edited copy
+has kept. Where a seed occurs in a document, the passage around it is aligned with the item word by
+word, so edited copies are found too. There is no upper limit on how common a seed may be.
 """
 
 from __future__ import annotations
@@ -26,8 +24,6 @@ from pitchlens.staging import stage
 BLOCK_WORDS = 500_000
 #: An item of more words is matched in parts of about so many.
 PART_WORDS = 64
-#: Of so many neighbouring n-grams the most common is no seed.
-NEIGHBOURS = 4
 #: Raw words that a task remembers; a bound on its memory only.
 WORDS_AT_ONCE = 500_000
 EDGES = string.punctuation + "«»“”„‘’¿¡…"
@@ -101,36 +97,13 @@ def _blocks(benchmark: DataFrame, n: int) -> Iterator[Block]:
         yield make_block(rows, n)
 
 
-def _count(block: Block, grams: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(block.vocabulary)
-        total = np.zeros(len(grams), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                value, _ = block.grams(ids.of(text))
-                place = np.minimum(np.searchsorted(grams, value), len(grams) - 1)
-                total += np.bincount(place[grams[place] == value], minlength=len(grams))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    return run
-
-
-def choose_seeds(block: Block, grams: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed numbers (sorted), with the part and the offset of each."""
-    seeds, part_of, offsets = [], [], []
-    for i, ids in enumerate(block.parts):
-        value, at = block.grams(ids)
-        count = often[np.searchsorted(grams, value)]
-        for k in range(0, len(value), NEIGHBOURS):
-            near = np.arange(k, min(k + NEIGHBOURS, len(value)))
-            if len(near) > 1:
-                near = np.delete(near, int(np.argmax(count[near])))
-            seeds.extend(value[near])
-            part_of.extend([i] * len(near))
-            offsets.extend(at[near])
-    order = np.argsort(np.array(seeds, np.int64), kind="stable")
-    return tuple(np.array(x, np.int64)[order] for x in (seeds, part_of, offsets))
+def all_seeds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of all parts (sorted numbers), with the part and the offset of each."""
+    grams = [block.grams(ids) for ids in block.parts]
+    seeds = np.concatenate([value for value, _ in grams])
+    part_of = np.repeat(np.arange(len(grams)), [len(value) for value, _ in grams])
+    order = np.argsort(seeds, kind="stable")
+    return seeds[order], part_of[order], np.concatenate([at for _, at in grams])[order]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -208,17 +181,12 @@ def _match(block: Block, found_in):
     return run
 
 
-def _finders(texts: DataFrame, benchmark: DataFrame, n: int, least: float) -> Iterator[tuple[Block, object]]:
-    """Each block of the benchmark, with a finder whose seeds are rare in ``texts``."""
+def _finders(benchmark: DataFrame, n: int, least: float) -> Iterator[tuple[Block, object]]:
+    """Each block of the benchmark that has n-grams, with its finder."""
     for block in _blocks(benchmark, n):
-        grams = np.unique(np.concatenate([block.grams(p)[0] for p in block.parts]))
-        if not len(grams):
-            continue
-        often = np.zeros(len(grams), np.int64)
-        counted = texts.mapInArrow(_count(block, grams), "gram long, n long")
-        for row in counted.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-            often[row.gram] = row.n
-        yield block, _finder(block, *choose_seeds(block, grams, often), least)
+        seeds, part_of, offsets = all_seeds(block)
+        if len(seeds):
+            yield block, _finder(block, seeds, part_of, offsets, least)
 
 
 def leaks(
@@ -238,7 +206,7 @@ def leaks(
     words = words.filter("text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for block, found_in in _finders(words.select("text"), items, n, least):
+    for block, found_in in _finders(items, n, least):
         out = out.unionByName(stage(words.mapInArrow(_match(block, found_in), MATCHES), "leaks"))
     return out
 
@@ -253,7 +221,6 @@ def without_leaks(
     an id and repeated rows are each judged by their own text.
     """
     at = docs.columns.index(text_col)
-    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
 
     def clean(block: Block, found_in):
@@ -265,7 +232,7 @@ def without_leaks(
 
         return run
 
-    for block, found_in in _finders(texts, items, n, least):
+    for block, found_in in _finders(items, n, least):
         docs = docs.mapInArrow(clean(block, found_in), docs.schema)
     return docs
 

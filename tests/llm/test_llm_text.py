@@ -173,6 +173,24 @@ def test_decontamination_finds_edited_copies(spark):
     assert leaks.leaks(df.limit(0), bench).count() == leaks.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_every_fourth_word_changed(spark):
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(5000)])
+    items = [rng.choice(words, n).tolist() for n in range(15, 60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows, expected = [], set()
+    for i, item in enumerate(items):
+        copy = [f"new{k}" if k % 4 == i // 4 % 4 else w for k, w in enumerate(item)]  # the only copy
+        text = rng.choice(words, 80).tolist() + copy + rng.choice(words, 80).tolist()
+        if leaks.align(np.array([hash(w) for w in item]), np.array([hash(w) for w in text]))[0] >= 0.4 * len(item):
+            expected.add((i, i))
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(expected) > 30 and {(r.doc_id, r.item_id) for r in leaks.leaks(df, bench).collect()} == expected
+    kept = {r.doc_id for r in leaks.without_leaks(df, bench).collect()}
+    assert kept == {r[0] for r in rows} - {d for d, _ in expected}
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=8), st.lists(st.integers(0, 3), max_size=10))
 def test_alignment_equals_the_full_table(item, passage):
     best = np.zeros((len(item) + 1, len(passage) + 1), int)
