@@ -32,7 +32,7 @@ LEFT_OUT = set(
 )
 FRAME_NAMES = set(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie"
-    " cookies consent notice notices gdpr popup modal newsletter subscribe signup sidebar aside nav"
+    " cookies cookie-notice cookie-banner cookie-consent consent notice notices gdpr popup modal newsletter subscribe signup sidebar aside nav"
     " navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments respond disqus"
     " share sharing social related pagination widget".split()
 )
@@ -45,10 +45,16 @@ OTHER, FRAME, MAIN = 0, 1, 2
 
 
 class _Lines(HTMLParser):
-    """Splits a page into lines (one per block) with their kind."""
+    """Splits a page into lines (one per block) with their kind.
 
-    def __init__(self) -> None:
+    Elements with a frame's class or id that hold an article or main element are added to ``holders``
+    by their number; the elements ``spared`` keep the kind of what they are in.
+    """
+
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.spared, self.holders, self.elements = spared, set(), 0
+        self.named: list[tuple[int, int]] = []  # depth and number of the open elements so named
         self.open: list[tuple[str, int]] = []
         self.words: list[str] = []
         self.lines: list[tuple[str, int]] = []
@@ -65,17 +71,31 @@ class _Lines(HTMLParser):
 
     def leave(self, at: int) -> None:
         self.flush()
+        self.close_from(at)
+
+    def close_from(self, at: int) -> None:
         del self.open[at:]
+        while self.named and self.named[-1][0] >= at:
+            self.named.pop()
 
     def kind_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        if self.kind == FRAME or tag in LEFT_OUT:
-            return FRAME
         given = dict(attrs)
-        names = re.split(r"[^a-z0-9]+", f"{given.get('class') or ''} {given.get('id') or ''}".lower())
+        names = set(f"{given.get('class') or ''} {given.get('id') or ''}".lower().split())
         role = (given.get("role") or "").lower()
-        if FRAME_NAMES & set(names) or role in FRAME_ROLES:
+        main = tag in ("article", "main") or role in ("main", "article") or given.get("itemprop") == "articleBody"
+        self.elements += 1
+        if tag in ("article", "main"):
+            self.holders.update(number for _, number in self.named)
+            self.named = []  # known now, as all that they are in
+        if tag in ("html", "body", "main", "article") or self.elements in self.spared:
+            names = set()
+        elif names & FRAME_NAMES or "header" in names:
+            self.named.append((len(self.open), self.elements))
+        if self.kind == FRAME or tag in LEFT_OUT:
+            return FRAME
+        if FRAME_NAMES & names or role in FRAME_ROLES:
             return FRAME
-        if tag in ("article", "main") or role in ("main", "article") or given.get("itemprop") == "articleBody":
+        if main:
             return MAIN
         if self.kind != MAIN and (tag == "header" or "header" in names):
             return FRAME
@@ -113,7 +133,7 @@ class _Lines(HTMLParser):
                 if tag in BLOCKS or kind != outer or any(n in BLOCKS for n, _ in self.open[at:]):
                     self.leave(at)
                 else:
-                    del self.open[at:]
+                    self.close_from(at)
                 return
             if tag not in BLOCKS and tag not in LEFT_OUT and name in BLOCKS:
                 return  # a stray end of an inline element ends no block
@@ -124,11 +144,16 @@ class _Lines(HTMLParser):
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
     """The text lines of a page, one per block, each with its kind."""
-    parser = _Lines()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.lines
+
+    def parsed(spared: frozenset[int] = frozenset()) -> _Lines:
+        parser = _Lines(spared)
+        parser.feed(html or "")
+        parser.close()
+        parser.flush()
+        return parser
+
+    first = parsed()
+    return (parsed(frozenset(first.holders)) if first.holders else first).lines
 
 
 def common_lines(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:

@@ -79,6 +79,20 @@ def test_page_texts(spark):
     assert htmltext.extract(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("html", [
+    "<html class='no-js menu'><body class='single right-sidebar'><p>Text",
+    "<html><body class='nav'><p>Text",
+    "<article class='post comments-open share'><p>Text</p></article><p>other",
+    "<main id='menu'><p>Text</p><div class='ad'>Buy</div></main>",
+    "<div class='widget'><div id='header'><div class='ad'>Buy</div><article><p>Text</p></article></div></div>",
+    "<div class='right-sidebar-layout'>Text</div><div class='sidebar'>side</div>",
+    "<div class='ad'>Buy</div><article>Text</article><div class='related'>more</div>",
+    "<nav><article>teaser</article></nav><p>Text</p>",
+])
+def test_names_of_frames_do_not_hide_articles(html):
+    assert htmltext.main_text(htmltext.page_lines(html), None) == "Text"
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_common_lines_are_a_longest_common_subsequence(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
