@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlens.llm import htmltext, leaks, mixing, privacy, repeats, scoring, simhash, toxicity, vectors, warc
+from pitchlens.llm import (
+    htmltext,
+    language,
+    leaks,
+    middle,
+    mixing,
+    privacy,
+    repeats,
+    scoring,
+    simhash,
+    toxicity,
+    vectors,
+    warc,
+    whitening,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": htmltext.html_query,
         "op9_toxicity": toxicity.toxicity_query,
         "op10_repeats": repeats.repeats_query,
+        "op11_language": language.language_query,
+        "op12_whitening": whitening.whitening_query,
+        "op13_middle": middle.middle_query,
     }
 
 
@@ -28,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.ORACLE,
         "op2_near_vectors": vectors.ORACLE,
+        "op13_middle": middle.ORACLE,
     }
