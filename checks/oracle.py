@@ -1342,6 +1342,48 @@ oracle(
     """,
 )
 
+cte(
+    "f_split",
+    """
+    SELECT *, (matchid % 1000003 * 7919 + 123) % 1000 AS place,
+           CASE WHEN (matchid % 1000003 * 7919 + 123) % 1000 < 100 THEN 'test'
+                WHEN (matchid % 1000003 * 7919 + 123) % 1000 < 200 THEN 'valid' ELSE 'train' END AS part
+    FROM f_feature
+    """,
+)
+_scaled = {f"{o}{a}": f"CAST({o}{a} AS DOUBLE) / matchlength" for o in ("", "opponent_") for a in ATTRS}
+_inputs = {c: f"CAST({c} AS DOUBLE)" for c in ("is_home", "matchlength", "playtime", "opponent_playtime", "year", "month", "day")}
+_inputs = {"saison": r"try_cast(regexp_extract(saison, '\d{4}') AS DOUBLE)"} | _inputs | _scaled
+oracle(
+    "train_imputed",
+    "SELECT matchid, teamid, CAST(goals AS DOUBLE) AS goals, part = 'test' AS is_test, part = 'valid' AS is_valid, "
+    + ", ".join(
+        r(f"coalesce({v}, (SELECT avg({v}) FROM f_split WHERE part = 'train'))", c) for c, v in _inputs.items()
+    )
+    + " FROM f_split",
+)
+cte(
+    "f_mean",
+    """
+    SELECT matchid, teamid, CAST(goals AS DOUBLE) AS goals,
+           (SELECT avg(goals) FROM f_split WHERE part = 'train') AS prediction
+    FROM f_split WHERE part = 'test'
+    """,
+)
+oracle(
+    "mean_predictions",
+    f"SELECT matchid, teamid, goals, {r('prediction', 'prediction')}, "
+    "round(prediction, 0) AS prediction_rounded FROM f_mean",
+)
+oracle(
+    "mean_errors",
+    f"""
+    SELECT {r("avg(abs(prediction - goals))", "mae")}, {r("avg((prediction - goals) ** 2)", "mse")},
+           {r("1 - avg((prediction - goals) ** 2) / var_pop(goals)", "r2")}, count(*) AS n
+    FROM f_mean
+    """,
+)
+
 
 def _needed(sql: str) -> list[str]:
     """CTEs that ``sql`` uses, directly or not, in the order they were declared."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,7 @@ class DataSet:
         self.tables = tables
         self.features_since = features_since
         self._kept: dict[str, DataFrame] = {}
+        self._held: dict[str, Any] = {}
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table that ``make`` returns, made and stored once under ``name``."""
@@ -36,6 +38,12 @@ class DataSet:
             self._kept[name] = stage(make(), name)
         return self._kept[name]
 
+    def held(self, name: str, make: Callable[[], Any]) -> Any:
+        """A small object, such as a fitted model, made once."""
+        if name not in self._held:
+            self._held[name] = make()
+        return self._held[name]
+
     def credited(self, x: int = 1) -> DataFrame:
         """Goal weights per player and match, for the form of the last ``x`` matches."""
         name = f"credited-{x}"

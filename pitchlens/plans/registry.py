@@ -460,17 +460,30 @@ def _stored_split(data: DataSet) -> DataFrame:
     return data.kept("split", lambda: _split(data))
 
 
+def _goal_model(data: DataSet) -> training.GoalModel:
+    return data.held("goal-model", lambda: training.goal_model(_stored_split(data)))
+
+
 def _predictions(data: DataSet) -> DataFrame:
-    def make() -> DataFrame:
-        split = _stored_split(data)
-        return training.goal_predictions(training.goal_model(split), split)
+    return data.kept("predictions", lambda: training.goal_predictions(_goal_model(data), _stored_split(data)))
+
+
+def _prepared(data: DataSet) -> training.Prepared:
+    return data.held("prepared", lambda: training.prepare(_stored_split(data)))
+
 
-    return data.kept("predictions", make)
+def _fits(data: DataSet) -> dict[float, training.Boosted]:
+    return data.held("fits", lambda: training.boost_each(_prepared(data)))
 
 
+_simple("train_imputed", lambda d: training.imputed(_stored_split(d)))
+_simple("mean_predictions", lambda d: training.mean_predictions(_stored_split(d)))
+_simple("mean_errors", lambda d: training.model_errors(training.mean_predictions(_stored_split(d))))
 _simple("goal_predictions", _predictions)
 _simple("model_errors", lambda d: training.model_errors(_predictions(d)))
-_simple("model_grid", lambda d: training.model_grid(_stored_split(d)))
+_QUERIES["goal_trees"] = lambda d, spark, folder: training.tree_nodes(_goal_model(d).trees, spark)
+_QUERIES["model_curves"] = lambda d, spark, folder: training.model_curves(_fits(d), spark)
+_simple("model_grid", lambda d: training.model_grid(_prepared(d), _fits(d)))
 
 
 def queries() -> dict[str, Query]:
