@@ -607,6 +607,10 @@ oracle(
     """,
 )
 
+# The same rows, whatever the layout of the stored tables.
+oracle("laid_out_last_x_5", ORACLES["last_x_5"])
+oracle("laid_out_ranked_points", ORACLES["ranked_points"])
+
 # --- overview ---------------------------------------------------------------------------------
 
 oracle("matches_by_season", "SELECT saison, count(*) AS matches FROM f_match GROUP BY saison")

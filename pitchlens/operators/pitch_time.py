@@ -33,7 +33,7 @@ def _events(df: DataFrame, player: str, came=None, went=None, sent=None, mark=No
     )
 
 
-def _entries(tables: Tables) -> DataFrame:
+def entries(tables: Tables) -> DataFrame:
     """One row per player, match and team: the minutes they came on, went off and were sent off.
 
     Line-up, substitutions and cards are stacked and combined in a single shuffle. The sets hold
@@ -88,7 +88,7 @@ def presence(tables: Tables, matches: DataFrame | None = None) -> DataFrame:
     """
     matches = tables.match if matches is None else matches
     joined = split_join(
-        _entries(tables),
+        entries(tables) if tables.stored_entries is None else tables.stored_entries,
         matches,
         ["matchid"],
         hot=tables.hot_matches,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +17,14 @@ from pitchlens.staging import discard, stage
 
 SEASON = ("playerid", "saison")
 
+#: Stores a frame under a label and returns it read back.
+Store = Callable[[DataFrame, str], DataFrame]
 
-def _form(tables: Tables, x: int) -> DataFrame:
+
+def _form(tables: Tables, x: int, store: Store) -> DataFrame:
     """Every player and match with the player's averages over the last X matches of the season.
 
-    The joins below read it twice, so it is stored. Goals are joined by match later: they need not
+    The joins below read it twice, so it is stored by ``store``. Goals are joined by match later: they need not
     travel with every player's row.
     """
     form = last_x(
@@ -32,7 +35,7 @@ def _form(tables: Tables, x: int) -> DataFrame:
         keep=["tournament", "playtime", "off", "def", "spells"],
         hot=tables.hot_players,
     )
-    return stage(
+    return store(
         form.select(
             *ENTRY,
             "saison",
@@ -98,13 +101,14 @@ def _weights_on_pitch(own: bool) -> Column:
     )
 
 
-def credited(tables: Tables, x: int = 1) -> DataFrame:
+def credited(tables: Tables, x: int = 1, store: Store = stage) -> DataFrame:
     """Each player and match with the weights of the goals ``scored`` and ``conceded`` meanwhile.
 
     The table is stored: both baselines and the points come from it, so the join with the goals of
-    the match runs once. ``x`` is the number of matches that the form of the opponents is taken from.
+    the match runs once. ``x`` is the number of matches that the form of the opponents is taken from;
+    ``store`` keeps a frame as a table (by match, where the tables are laid out by it).
     """
-    form = _form(tables, x)
+    form = _form(tables, x, store)
     joined = split_join(
         form,
         _goal_weights(form, tables),
@@ -113,13 +117,14 @@ def credited(tables: Tables, x: int = 1) -> DataFrame:
         hot=tables.hot_matches,
         spread_by=["playerid", "teamid"],
     )
-    stored = stage(
+    stored = store(
         joined.withColumn("scored", _weights_on_pitch(own=True))
         .withColumn("conceded", _weights_on_pitch(own=False))
         .drop("weights", "spells", "off_form", "def_form"),
         "credited",
     )
-    discard(form)
+    if store is stage:
+        discard(form)
     return stored
 
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from pitchlens.functions.columns import DEFAULT_XS
+from pitchlens.layout import LaidOut, lay_out
 from pitchlens.model import features
 from pitchlens.operators.pitch_time import player_time
 from pitchlens.operators.ranked import credited, neutral_ranked_last_x
@@ -51,6 +52,11 @@ class DataSet:
             self._kept[name] = credited(self.tables, x)
         return self._kept[name]
 
+    @cached_property
+    def laid_out(self) -> LaidOut:
+        """The tables stored by match, and points stored by player."""
+        return lay_out(self.tables)
+
     @cached_property
     def played(self) -> DataFrame:
         """Player times with tournament and season."""

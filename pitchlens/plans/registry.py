@@ -196,6 +196,8 @@ _simple(
     "neutral_ranked_last_x_5_compat",
     lambda d: ranked.neutral_ranked_last_x(d.tables, (5,), stored=d.credited(5), compat=True),
 )
+_simple("laid_out_last_x_5", lambda d: d.laid_out.last_x((5,)))
+_simple("laid_out_ranked_points", lambda d: d.laid_out.ranked_points())
 
 # --- overview ---------------------------------------------------------------------------------
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,6 +132,9 @@ class Tables:
     trainer: DataFrame | None = None
     trainer_name: DataFrame | None = None
 
+    #: When players came on, went off and were sent off (``pitch_time.entries``), where that is stored.
+    stored_entries: ClassVar[DataFrame | None] = None
+
     @cached_property
     def hot_matches(self) -> HotKeys:
         """Matches with too many line-up and substitution rows for one task."""
