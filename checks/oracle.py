@@ -608,6 +608,7 @@ oracle(
 )
 
 # The same rows, whatever the layout of the stored tables.
+oracle("incremental_scores", ORACLES["score_with_age"])
 oracle("laid_out_last_x_5", ORACLES["last_x_5"])
 oracle("laid_out_ranked_points", ORACLES["ranked_points"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pitchlens.model import features as feat
 from pitchlens.model import training
 from pitchlens.operators import neutral, pitch_time, ranked, rolling, scores, segments
 from pitchlens.plans.dataset import ORDERS_FEATURES_SINCE as FEATURES_SINCE
+from pitchlens.plans import store
 from pitchlens.plans.dataset import DataSet, dataset_of
 from pitchlens.reports import careers, coplay, leagues, monthly, overview, trainers
 from pitchlens.schema import SCHEMAS
@@ -32,6 +34,7 @@ PLAYERS = {0: "Ada", 1: "Bea", 2: "Cleo", 3: "Dana", 8: "Edda", 9: "Fee", 14: "G
 TARGET_SEASONS = ["1997", "1998", "1999"]
 MEMBER_TOURNAMENTS = ["1-URGENT", "2-HIGH"]
 POINTS_SINCE, POINTS_UNTIL, TRAINER_SINCE = 1995, 2001, 1999
+STORE_UPDATED = 2001
 GRAPH_SINCE, GRAPH_COUNTRIES = datetime.date(1998, 1, 1), ["F", "P"]
 BEST_METRICS = {
     "total_off": "total_ranked_off",
@@ -196,6 +199,21 @@ _simple(
     "neutral_ranked_last_x_5_compat",
     lambda d: ranked.neutral_ranked_last_x(d.tables, (5,), stored=d.credited(5), compat=True),
 )
+
+
+@_query("incremental_scores")
+def _incremental_scores(data, spark, folder):
+    """The score table of a store that was written up to some day and then updated."""
+    path, tables = new_path(spark, "store"), data.tables
+    late = tables.match.filter(F.year("matchday") >= STORE_UPDATED)
+    early = {
+        name: getattr(tables, name).join(late.select("matchid"), "matchid", "left_anti") for name in store.OF_MATCH
+    }
+    store.write_store(replace(tables, **early), path)
+    store.update_store(tables, path, late.select("matchid"))
+    return store.read_store(spark, path, "scores").drop(store.SEASON)
+
+
 _simple("laid_out_last_x_5", lambda d: d.laid_out.last_x((5,)))
 _simple("laid_out_ranked_points", lambda d: d.laid_out.ranked_points())
 

@@ -65,8 +65,10 @@ def small_or_plain(df: DataFrame, label: str, most: int = 10_000) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= most else stored
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark knows; ``path`` may be a URI."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path) if "%" in path else path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     if path in _written:
         _written.remove(path)
@@ -75,7 +77,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(*frames: DataFrame) -> None:
     """Delete the tables of frames that ``stage`` has returned and that no plan reads any more."""
     for frame in frames:
-        _delete(frame.sparkSession, _stored.pop(frame))
+        delete_path(frame.sparkSession, _stored.pop(frame))
 
 
 def discard_all(spark: SparkSession) -> int:
@@ -85,5 +87,5 @@ def discard_all(spark: SparkSession) -> int:
     """
     paths = list(_written)
     for path in paths:
-        _delete(spark, path)
+        delete_path(spark, path)
     return len(paths)
