@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pitchlens.functions.columns import ATTRIBUTE_ORDER as ATTRS
+from pitchlens.functions.columns import WIDE_ATTRIBUTES, WIDE_XS
 from pitchlens.functions.scalars import POSITION_KINDS
 from pitchlens.plans import registry as p
 from pitchlens.schema import SCHEMAS
@@ -1274,20 +1275,28 @@ oracle(
     "asof_scores",
     f"SELECT matchid, teamid, playerid, score_day, {_attribute_out()} FROM f_asof",
 )
+cte(
+    "f_two_days",
+    """
+    SELECT teamid, playerid, max(day) FILTER (rank = 1) AS day1, max(n) FILTER (rank = 1) AS n1,
+           max(scored_in) FILTER (rank = 1) AS in1, max(day) FILTER (rank = 2) AS day2
+    FROM (SELECT teamid, playerid, target_match_timestamp AS day, count(*) AS n, max(matchid) AS scored_in,
+                 row_number() OVER (PARTITION BY teamid, playerid ORDER BY target_match_timestamp DESC) AS rank
+          FROM f_scores GROUP BY teamid, playerid, target_match_timestamp)
+    WHERE rank <= 2 GROUP BY teamid, playerid
+    """,
+)
 oracle(
     "asof_scores_compat",
     f"""
-    -- The latest day outside the match is among the days of the pair's two latest matches.
-    SELECT q.matchid, teamid, playerid, score_day, {_attribute_out()}
-    FROM (SELECT l.matchid, l.teamid, l.playerid, max(s.target_match_timestamp) AS score_day
-          FROM f_lineup l LEFT JOIN (
-              SELECT teamid, playerid, matchid, target_match_timestamp FROM f_scores
-              QUALIFY dense_rank() OVER (PARTITION BY teamid, playerid
-                                         ORDER BY target_match_timestamp DESC, matchid DESC) <= 2
-          ) s ON s.teamid = l.teamid AND s.playerid = l.playerid
-          WHERE s.matchid IS NULL OR s.matchid <> l.matchid GROUP BY ALL) q
-    LEFT JOIN (SELECT * EXCLUDE (matchid), target_match_timestamp AS score_day FROM f_scores)
-    USING (teamid, playerid, score_day)
+    -- The latest day outside the match is one of the two latest days of player and team.
+    SELECT q.matchid, q.teamid, q.playerid, q.score_day, {_attribute_out()}
+    FROM (SELECT matchid, teamid, playerid, day1 IS NULL AS unknown,
+                 CASE WHEN n1 > 1 OR in1 <> matchid THEN day1 ELSE day2 END AS score_day
+          FROM f_lineup LEFT JOIN f_two_days USING (teamid, playerid)) q
+    LEFT JOIN f_scores s
+      ON s.teamid = q.teamid AND s.playerid = q.playerid AND s.target_match_timestamp = q.score_day
+    WHERE q.unknown OR q.score_day IS NOT NULL
     """,
 )
 cte(
@@ -1311,6 +1320,50 @@ cte(
     USING (matchid, opponent)
     """,
 )
+# The same for many X, neutral and ranked, over the season.
+_names = ("off", "def", "diff", *_RANKED)
+cte("f_wide", _windowed("f_ranked", "playerid, saison", WIDE_XS, _names))
+cte(
+    "f_asof_wide",
+    f"""
+    SELECT l.matchid, l.teamid, l.playerid, {", ".join(f"s.{a}" for a in WIDE_ATTRIBUTES)}
+    FROM f_lineup l ASOF JOIN (SELECT * EXCLUDE (matchid), matchid AS scored_in FROM f_wide
+         QUALIFY row_number() OVER (PARTITION BY teamid, playerid, target_match_timestamp
+                                    ORDER BY scored_in DESC) = 1) s
+      ON s.teamid = l.teamid AND s.playerid = l.playerid AND s.target_match_timestamp < l.matchday
+    """,
+)
+cte(
+    "f_strength_wide",
+    "SELECT a.matchid, a.teamid, sum(t.playtime) AS playtime, "
+    + ", ".join(f"sum(a.{x} * t.playtime) AS {x}" for x in WIDE_ATTRIBUTES)
+    + " FROM f_asof_wide a LEFT JOIN (SELECT matchid, playerid, sum(playtime) AS playtime FROM f_time"
+    " GROUP BY ALL) t USING (matchid, playerid) GROUP BY a.matchid, a.teamid",
+)
+oracle(
+    "team_strength_wide",
+    f"SELECT matchid, teamid, {big('playtime', 'playtime')}, "
+    + ", ".join(r(f"CAST({a} AS DOUBLE) + {p.TIES['team_strength_wide']}", a) for a in WIDE_ATTRIBUTES)
+    + " FROM f_strength_wide",
+)
+_other = ", ".join(f"{c} AS opponent_{c}" for c in ("playtime", *WIDE_ATTRIBUTES))
+oracle(
+    "match_features_wide",
+    f"""
+    SELECT matchid, teamid, opponent, matchday, saison, {big("matchlength", "matchlength")}, is_home, goals,
+           year(matchday) AS year, month(matchday) AS month, day(matchday) AS day,
+           {big("playtime", "playtime")}, {big("opponent_playtime", "opponent_playtime")}, """
+    + ", ".join(
+        r(f"CAST({o}{a} AS DOUBLE) / matchlength + {p.TIES['match_features_wide']}", f"{o}{a}")
+        for o in ("", "opponent_")
+        for a in WIDE_ATTRIBUTES
+    )
+    + f"""
+    FROM f_goal_table JOIN f_strength_wide USING (matchid, teamid)
+    JOIN (SELECT matchid, teamid AS opponent, {_other} FROM f_strength_wide) USING (matchid, opponent)
+    WHERE """
+    + " AND ".join(f"{o}{a} IS NOT NULL" for o in ("", "opponent_") for a in ("playtime", *WIDE_ATTRIBUTES)),
+)
 _feature_base = f"""
     saison, {big("matchlength", "matchlength")}, is_home, goals, year, month, day,
     {big("playtime", "playtime")}, {big("opponent_playtime", "opponent_playtime")}

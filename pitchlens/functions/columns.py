@@ -58,3 +58,7 @@ def attribute_columns(xs, families) -> list[str]:
 
 
 ATTRIBUTE_ORDER = attribute_columns(DEFAULT_XS, (NEUTRAL,))
+
+# The numbers of matches whose columns the wide goal model is trained on.
+WIDE_XS = (1, 2, 3, 4, 5, 6, 8, 13, 21)
+WIDE_ATTRIBUTES = attribute_columns(WIDE_XS, (NEUTRAL, RANKED))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -140,3 +142,92 @@ def match_features_norm(
     scaled = {a: per_minute(a, "matchlength") for a in named}
     complete = features.na.drop().withColumns(scaled)
     return complete if keep_ids else complete.drop("matchday", "teamid", "opponent", "matchid")
+
+
+# Any number of attributes, as one array per row. Which attribute stands where is a list of names that
+# goes along; plans do not grow with it.
+
+VECTOR = "attributes"
+
+
+def as_vector(scores: DataFrame, attributes: Sequence[str], day: str = DAY) -> DataFrame:
+    """Ids and day of each score row, and the attributes as an array of doubles."""
+    values = F.array(*[F.col(a).cast("double") for a in attributes])
+    return scores.select("playerid", "matchid", "teamid", day, values.alias(VECTOR))
+
+
+def asof_vectors(lineups: DataFrame, vectors: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    """Each starting player with their latest vector for the team before the day of the match."""
+    return asof_scores(lineups, vectors, (VECTOR,), hot=hot)
+
+
+def team_vectors(known: DataFrame, player_time: DataFrame) -> DataFrame:
+    """Per match and team, the sums of the players' vectors weighted by their minutes in the match.
+
+    As with single columns, unknown values do not count, and a sum of none is unknown. One aggregate
+    adds up values and flags of all attributes, before the shuffle and after it.
+    """
+    minutes = player_time.groupBy("matchid", "playerid").agg(F.sum("playtime").alias("minutes"))
+    weighted = known.join(minutes, ["matchid", "playerid"], "left")
+    values = F.transform(VECTOR, lambda a: F.coalesce(a * F.col("minutes"), F.lit(0.0)))
+    flags = F.transform(VECTOR, lambda a: (a * F.col("minutes")).isNotNull().cast("double"))
+    sums = weighted.groupBy("matchid", "teamid").agg(
+        F.sum("minutes").alias("playtime"),
+        Summarizer.sum(array_to_vector(F.concat(values, flags))).alias("_sums"),
+    )
+    both = sums.withColumn("_sums", vector_to_array("_sums"))
+    half = (F.size("_sums") / 2).cast("int")
+    pairs = F.arrays_zip(
+        F.slice("_sums", F.lit(1), half).alias("total"), F.slice("_sums", half + 1, half).alias("known")
+    )
+    total = F.transform(pairs, lambda p: F.when(p["total"].isNotNull() & (p["known"] > 0), p["total"]))
+    return both.select("matchid", "teamid", "playtime", total.alias(VECTOR))
+
+
+def match_vectors(goals: DataFrame, strength: DataFrame) -> DataFrame:
+    """Goals of a team with its own and its opponent's minutes and vector.
+
+    The teams of a match come together in one row first, so goals are joined once.
+    """
+    teams = strength.groupBy("matchid").agg(
+        F.collect_list(F.struct("teamid", "playtime", VECTOR)).alias("_teams")
+    )
+    joined = goals.join(teams, "matchid")
+
+    def of(side: str) -> Column:
+        return F.get(F.filter("_teams", lambda t: t["teamid"] == F.col(side)), F.lit(0))
+
+    found = joined.withColumn("_own", of("teamid")).withColumn("_other", of("opponent"))
+    found = found.filter(F.col("_own").isNotNull() & F.col("_other").isNotNull())
+    return found.select(
+        *goals.columns,
+        F.col("_own.playtime").alias("playtime"),
+        F.col("_other.playtime").alias("opponent_playtime"),
+        F.col(f"_own.{VECTOR}").alias(VECTOR),
+        F.col(f"_other.{VECTOR}").alias(f"opponent_{VECTOR}"),
+        F.year("matchday").alias("year"),
+        F.month("matchday").alias("month"),
+        F.dayofmonth("matchday").alias("day"),
+    )
+
+
+def match_vectors_norm(vectors: DataFrame) -> DataFrame:
+    """Rows without NULLs, in columns or vectors, with the vectors per minute of the match."""
+    both = (VECTOR, f"opponent_{VECTOR}")
+    complete = vectors.na.drop()
+    for name in both:
+        complete = complete.filter(F.forall(name, lambda a: a.isNotNull()))
+    scaled = {n: F.transform(n, lambda a: per_minute(a, "matchlength")) for n in both}
+    return complete.withColumns(scaled)
+
+
+def named(vectors: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """Vectors back to a column per attribute, for tables that are looked at."""
+    columns = []
+    for c in vectors.columns:
+        if c.endswith(VECTOR):
+            prefix = c.removesuffix(VECTOR)
+            columns += [F.get(c, F.lit(i)).alias(f"{prefix}{a}") for i, a in enumerate(attributes)]
+        else:
+            columns.append(F.col(c))
+    return vectors.select(*columns)

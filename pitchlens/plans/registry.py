@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlens.functions.columns import RANKED, total_col
+from pitchlens.functions.columns import RANKED, WIDE_ATTRIBUTES, WIDE_XS, total_col
 from pitchlens.functions.scalars import dedupe, minute_of_text, number_of_text, parse_day
 from pitchlens.model import features as feat
 from pitchlens.model import training
@@ -46,15 +46,18 @@ BEST_METRICS = {
 
 # Digits compared, where other than six: means of means have exact ties at the seventh digit.
 DIGITS = {"team_minus_player": 9}
+# Sums of many quotients have such ties, too, and their last bits depend on the order of adding up. A
+# shift far above that error and far below the sixth digit makes all ties fall to the same side.
+TIES = {"team_strength_wide": 3.1e-8, "match_features_wide": 3.1e-8}
 
 
-def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
+def comparable(df: DataFrame, digits: int = 6, shift: float = 0.0) -> DataFrame:
     """Doubles to some digits and whole numbers as bigint, so that engines can be compared."""
     out = []
     for field in df.schema.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, T.DoubleType):
-            column = F.round(column, digits) + F.lit(0.0)
+            column = F.round(column + F.lit(shift) if shift else column, digits) + F.lit(0.0)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType)):
             column = column.cast("bigint")
         out.append(column.alias(field.name))
@@ -459,6 +462,32 @@ def _split(data: DataSet, compat: bool = False) -> DataFrame:
     return training.train_split(rows, compat=compat)
 
 
+def _wide_scores(data: DataSet) -> DataFrame:
+    def make() -> DataFrame:
+        rows = ranked.neutral_ranked_last_x(data.tables, WIDE_XS, form_x=1, stored=data.credited())
+        return feat.as_vector(rows, WIDE_ATTRIBUTES)
+
+    return data.kept("wide-scores", make)
+
+
+def _wide_strength(data: DataSet) -> DataFrame:
+    def make() -> DataFrame:
+        lineups = feat.lineups_since(
+            data.tables.match, data.tables.player, FEATURES_SINCE, data.tables.hot_matches
+        )
+        known = feat.asof_vectors(lineups, _wide_scores(data), data.tables.hot_players)
+        return feat.team_vectors(known, data.played)
+
+    return data.kept("wide-strength", make)
+
+
+def _wide_features(data: DataSet) -> DataFrame:
+    goals = feat.team_goal_table(data.tables.match, data.tables.goal)
+    return feat.match_vectors_norm(feat.match_vectors(goals, _wide_strength(data)))
+
+
+_simple("team_strength_wide", lambda d: feat.named(_wide_strength(d), WIDE_ATTRIBUTES))
+_simple("match_features_wide", lambda d: feat.named(_wide_features(d), WIDE_ATTRIBUTES))
 _simple("team_goal_table", lambda d: feat.team_goal_table(d.tables.match, d.tables.goal))
 _simple("matches_by_year", lambda d: feat.matches_by_year(d.tables.match, FEATURES_SINCE))
 _simple("asof_scores", _asof)
@@ -510,7 +539,7 @@ def queries() -> dict[str, Query]:
     def bind(name: str, fn) -> Query:
         digits = DIGITS.get(name, 6)
         return lambda spark, folder: comparable(
-            fn(dataset_of(spark, folder), spark, folder), digits
+            fn(dataset_of(spark, folder), spark, folder), digits, TIES.get(name, 0.0)
         )
 
     return {name: bind(name, fn) for name, fn in _QUERIES.items()}
