@@ -579,6 +579,19 @@ oracle(
     "load_csv_all_tables",
     f"SELECT name, line, count(*) AS n FROM ({' UNION ALL '.join(map(_lines, SCHEMAS))}) GROUP BY ALL",
 )
+oracle(
+    "load_csv_rejects",
+    """
+    SELECT 'match' AS name, 'matchday' AS "column", 'n/a' AS text, count(*) AS n FROM f_match WHERE matchid % 97 = 0
+    HAVING count(*) > 0 UNION ALL
+    SELECT 'match', 'refereeid', '12.7', count(*) FROM f_match WHERE matchid % 89 = 0 HAVING count(*) > 0 UNION ALL
+    SELECT 'substitution', 'time', '45+2', count(*) FROM f_sub WHERE matchid % 5 = 0 HAVING count(*) > 0
+    """,
+)
+oracle(
+    "match_slices",
+    f"SELECT unnest(range({p.SLICES}))::BIGINT AS slice, true AS even",
+)
 oracle(
     "parse_match_dates",
     """

@@ -45,9 +45,14 @@ def minute_of_text(text: ColumnLike) -> Column:
     return _col(text).try_cast("int")
 
 
+# Fixed value: how whole numbers are written; ids come both as '12' and '12.0'.
+WHOLE_NUMBER = r"^\s*[+-]?\d+(\.0*)?\s*$"
+
+
 def number_of_text(text: ColumnLike) -> Column:
-    """Text to whole number through double, as ids come both as '12' and '12.0'."""
-    return _col(text).try_cast("double").try_cast("bigint")
+    """Text to whole number, exact over the whole range of a bigint; NULL for anything else, such as '12.7'."""
+    digits = F.regexp_replace(F.trim(_col(text)), r"\.0*$", "")
+    return F.when(_col(text).rlike(WHOLE_NUMBER), digits.try_cast("bigint"))
 
 
 def playtime(in_time: ColumnLike, out_time: ColumnLike) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +20,8 @@ from pitchlens.plans.dataset import ORDERS_FEATURES_SINCE as FEATURES_SINCE
 from pitchlens.plans import store
 from pitchlens.plans.dataset import DataSet, dataset_of
 from pitchlens.reports import careers, coplay, leagues, monthly, overview, trainers
-from pitchlens.schema import SCHEMAS
-from pitchlens.sources import csv_files, parquet
+from pitchlens.schema import CSV_FOLDERS, SCHEMAS
+from pitchlens.sources import csv_files, jdbc, parquet
 from pitchlens.staging import new_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,7 @@ TARGET_SEASONS = ["1997", "1998", "1999"]
 MEMBER_TOURNAMENTS = ["1-URGENT", "2-HIGH"]
 POINTS_SINCE, POINTS_UNTIL, TRAINER_SINCE = 1995, 2001, 1999
 STORE_UPDATED = 2001
+SLICES = 6
 GRAPH_SINCE, GRAPH_COUNTRIES = datetime.date(1998, 1, 1), ["F", "P"]
 BEST_METRICS = {
     "total_off": "total_ranked_off",
@@ -141,6 +143,40 @@ def _load_csv_all_tables(data, spark, folder):
     return rows.groupBy("name", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("load_csv_rejects")
+def _load_csv_rejects(data, spark, folder):
+    """Rejects per table and column of a dump in which some days, minutes and ids are not legible."""
+    path, tables = new_path(spark, "csv"), data.tables
+    csv_files.write_csv_tables(tables, path)
+    spoiled = {
+        "match": csv_files.as_text(tables.match, "match").withColumns({
+            ":date": F.when(F.col(":id") % 97 == 0, "n/a").otherwise(F.col(":date")),
+            ":referee": F.when(F.col(":id") % 89 == 0, "12.7").otherwise(F.col(":referee")),
+        }),
+        "substitution": csv_files.as_text(tables.substitution, "substitution").withColumn(
+            ":time", F.when(F.col(":match") % 5 == 0, "45+2").otherwise(F.col(":time"))
+        ),
+    }
+    for name, rows in spoiled.items():
+        csv_files.write_csv(rows, f"{path}/{CSV_FOLDERS[name]}")
+    rejects = new_path(spark, "rejects")
+    csv_files.write_rejects(spark, path, rejects)
+    return spark.read.parquet(rejects).groupBy("name", "column", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("match_slices")
+def _match_slices(data, spark, folder):
+    """Rows per slice of the line-ups, sliced by match for parallel reads."""
+    ids = data.tables.player.select("matchid")
+    bounds = jdbc.slice_bounds(ids, "matchid", SLICES)
+    number = F.lit(0)
+    for i, condition in enumerate(jdbc.slice_predicates("matchid", bounds)):
+        number = F.when(F.expr(condition), i).otherwise(number)
+    sizes = ids.groupBy(number.cast("bigint").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(W.partitionBy())  # one row per slice
+    return sizes.select("slice", (F.abs(F.col("n") / total - 1 / SLICES) < 0.01).alias("even"))
+
+
 @_query("write_read_scores")
 def _write_read_scores(data, spark, folder):
     path = new_path(spark, "scores")
