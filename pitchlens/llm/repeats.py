@@ -241,8 +241,8 @@ def _settle(todo: DataFrame, least: int, width: int) -> tuple[DataFrame, DataFra
     discard(cores)
     mixed = alive.filter("not alike")
     wholes = mixed.filter("whole is not null").groupBy("rank", "part", "whole").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "single")).alias("p")
-    )
+        F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("single").alias("single")
+    )  # of one row; numbers, so that they are kept in the hash table
     wholes = stage(wholes, "repeat-wholes")
     copied = mixed.filter("single").join(
         wholes.filter("n > 1").select("rank", "part", "whole"), ["rank", "part", "whole"]
@@ -254,7 +254,7 @@ def _settle(todo: DataFrame, least: int, width: int) -> tuple[DataFrame, DataFra
     # One anchor stands for those whose ranges are equal; as their range is settled, it is no longer
     # single, but the others still have to meet it.
     left = wholes.select(
-        "part", "p.id", (F.col("p.single") & (F.col("n") == 1)).alias("single")
+        "part", "id", (F.col("single") & (F.col("n") == 1)).alias("single")
     ).unionByName(mixed.filter("whole is null").select("part", "id", "single"))
     left = stage(left.select("id", "single", low.alias("low"), high.alias("high")), "repeat-left")
     discard(alive, wholes)
@@ -284,8 +284,10 @@ def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
     discard(anchors, ranks)
 
     mixed = shared.filter("not alike").drop("alike")
-    place = F.struct("k1", "k2", "pos", "near", "far")
-    classes = mixed.groupBy("rank", "around").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p"))
+    place = ("k1", "k2", "pos", "near", "far")
+    classes = mixed.groupBy("rank", "around").agg(
+        F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in place)
+    )  # any one of the class, all of it from one row
     classes = stage(classes, "repeat-classes")
     copied = mixed.join(classes.filter("n > 1").select("rank", "around"), ["rank", "around"])
     start, stop = (F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("near") + least).alias("stop")
@@ -293,7 +295,7 @@ def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
     settled = settled.unionByName(copied.select("k1", "k2", start, stop))
 
     # One anchor of each class, with the bytes around it.
-    spots = classes.select("rank", "p.*", (F.col("n") == 1).alias("single")).groupBy("k1", "k2").agg(
+    spots = classes.select("rank", *place, (F.col("n") == 1).alias("single")).groupBy("k1", "k2").agg(
         F.collect_list(F.struct("pos", "near", "far", "rank", "single")).alias("spots")
     )
     spots = stage(spots, "repeat-spots")
