@@ -1,7 +1,7 @@
 """Main text of web pages by comparing each page with the nearest page of its host.
 
-Pages are sorted by host and URL path. Each is paired with the neighbour whose URL shares the longer
-beginning; the text lines of both are aligned by their longest common subsequence, and lines that
+Pages are sorted by host and URL path. Each is paired with the neighbour, of those with other lines, whose
+URL shares the longer beginning; the text lines of both are aligned by their longest common subsequence, and lines that
 they share are deleted as the site's frame. Elements that say what they are (navigation, adverts,
 forms and so on) are left out, and lines in a page's article element are never deleted: copies of a
 page, or of a passage, share lines that are content.
@@ -27,7 +27,7 @@ BLOCKS = set(
     " optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 LEFT_OUT = set(
-    "title script style noscript template iframe object svg math nav footer aside form button select"
+    "title script style noscript template iframe object svg nav footer aside form button select"
     " textarea dialog canvas audio video menu".split()
 )
 FRAME_NAMES = set(
@@ -36,6 +36,16 @@ FRAME_NAMES = set(
     " navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments respond disqus"
     " share sharing social related pagination widget".split()
 )
+# Of names in several parts, such as comment-list or main-nav: the first part, or the last one, says it.
+FRAME_FIRST = set("ad ads advert adverts comment comments cookie cookies share sharing social related sponsor sponsored".split())
+FRAME_LAST = set(
+    "ad ads advert adverts comments cookies footer nav navbar navigation sidebar breadcrumb breadcrumbs"
+    " newsletter pagination popup share".split()
+)
+# Parts that say that a frame is not in the element itself, but beside it or nowhere.
+BESIDE = set("no with without has open closed off disabled".split())
+# Frames that are never around the article, though they may hold articles of their own.
+NEVER_AROUND = set("comment comments respond disqus related ad ads advert adverts advertisement sponsored".split())
 FRAME_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog".split())
 # Elements that end where a like element starts.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -44,17 +54,32 @@ CLOSES_P = BLOCKS - {"body", "html", "head", "title", "option", "optgroup", "cap
 OTHER, FRAME, MAIN = 0, 1, 2
 
 
+def frame_names(names: set[str]) -> set[str]:
+    """The parts of class names and ids by which an element says that it is frame; ``header`` is one, too."""
+    found = set()
+    for name in names:
+        parts = re.split(r"[-_]+", name)
+        if name in FRAME_NAMES or name == "header" or name == "cookieconsent":
+            found.add(name)
+        elif len(parts) > 1 and not BESIDE & set(parts):
+            found |= ({parts[0]} & FRAME_FIRST) | ({parts[-1]} & FRAME_LAST)
+    return found
+
+
 class _Lines(HTMLParser):
     """Splits a page into lines (one per block) with their kind.
 
-    Elements with a frame's class or id that hold an article or main element are added to ``holders``
-    by their number; the elements ``spared`` keep the kind of what they are in.
+    ``articles`` has, for each article or main element that is not in another one, how much text it
+    holds and the numbers of the elements around it that are frame by their name. The elements ``spared``
+    keep the kind of what they are in.
     """
 
     def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.spared, self.holders, self.elements = spared, set(), 0
-        self.named: list[tuple[int, int]] = []  # depth and number of the open elements so named
+        self.spared, self.elements = spared, 0
+        self.named: list[tuple[int, int, bool]] = []  # depth, number, may hold the article: open elements so named
+        self.articles: list[list] = []
+        self.inside: int | None = None  # depth of the outermost open article
         self.open: list[tuple[str, int]] = []
         self.words: list[str] = []
         self.lines: list[tuple[str, int]] = []
@@ -68,6 +93,8 @@ class _Lines(HTMLParser):
         self.words = []
         if text:
             self.lines.append((text, self.kind))
+            if self.inside is not None:
+                self.articles[-1][0] += len(text)
 
     def leave(self, at: int) -> None:
         self.flush()
@@ -77,6 +104,13 @@ class _Lines(HTMLParser):
         del self.open[at:]
         while self.named and self.named[-1][0] >= at:
             self.named.pop()
+        if self.inside is not None and self.inside >= at:
+            self.inside = None
+
+    def around_the_article(self) -> frozenset[int]:
+        """The elements around the largest article that are frame by their name, and should not be."""
+        free = [(size, -i, around) for i, (size, around, may) in enumerate(self.articles) if may]
+        return frozenset(max(free)[2]) if free else frozenset()
 
     def kind_of(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
         given = dict(attrs)
@@ -84,20 +118,22 @@ class _Lines(HTMLParser):
         role = (given.get("role") or "").lower()
         main = tag in ("article", "main") or role in ("main", "article") or given.get("itemprop") == "articleBody"
         self.elements += 1
-        if tag in ("article", "main"):
-            self.holders.update(number for _, number in self.named)
-            self.named = []  # known now, as all that they are in
-        if tag in ("html", "body", "main", "article") or self.elements in self.spared:
-            names = set()
-        elif names & FRAME_NAMES or "header" in names:
-            self.named.append((len(self.open), self.elements))
+        outermost = tag in ("article", "main") and self.inside is None
+        found = frame_names(names)
+        if tag in ("html", "body", "main") or outermost or self.elements in self.spared:
+            found = set()
+        if outermost:
+            self.articles.append([0, [n for _, n, _ in self.named], all(may for _, _, may in self.named)])
+            self.inside = len(self.open)
+        if found:
+            self.named.append((len(self.open), self.elements, not found & NEVER_AROUND))
         if self.kind == FRAME or tag in LEFT_OUT:
             return FRAME
-        if FRAME_NAMES & names or role in FRAME_ROLES:
+        if found - {"header"} or role in FRAME_ROLES:
             return FRAME
         if main:
             return MAIN
-        if self.kind != MAIN and (tag == "header" or "header" in names):
+        if self.kind != MAIN and (tag == "header" or "header" in found):
             return FRAME
         return self.kind
 
@@ -153,7 +189,8 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         return parser
 
     first = parsed()
-    return (parsed(frozenset(first.holders)) if first.holders else first).lines
+    spared = first.around_the_article()
+    return (parsed(spared) if spared else first).lines
 
 
 def common_lines(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
@@ -187,20 +224,14 @@ def main_text(own: list[tuple[str, int]], near: list[tuple[str, int]] | None) ->
     """Blocks of a page that are left after comparison with its nearest page.
 
     Lines in an article element stay. Of the others, frame elements go, and lines that the nearest
-    page shares go, unless it shares more than half of what is left (then it is a copy of the page). Where
-    there is an article element, nothing outside it counts.
+    page shares go. Where there is an article element, nothing outside it counts.
     """
     if any(kind == MAIN for _, kind in own):
-        kept = [(i, t) for i, (t, kind) in enumerate(own) if kind == MAIN]
-    else:
-        kept = [(i, t) for i, (t, kind) in enumerate(own) if kind == OTHER]
+        return "\n\n".join(t for t, kind in own if kind == MAIN)
+    gone: set[int] = set()
     if near is not None:
-        shared, _ = common_lines([t for t, _ in own], [t for t, _ in near])
-        gone = {i for i in shared if own[i][1] != MAIN}
-        size = sum(len(t) for _, t in kept)
-        if sum(len(t) for i, t in kept if i in gone) * 2 <= size:
-            kept = [(i, t) for i, t in kept if i not in gone]
-    return "\n\n".join(t for _, t in kept)
+        gone = set(common_lines([t for t, _ in own], [t for t, _ in near])[0])
+    return "\n\n".join(t for i, (t, kind) in enumerate(own) if kind == OTHER and i not in gone)
 
 
 def _shared_start(a: str, b: str) -> int:
@@ -213,21 +244,21 @@ def _shared_start(a: str, b: str) -> int:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages in; each is compared with the one before or after it on its host."""
+    """Sorted pages in; each is compared with the nearest other one before or after it on its host."""
 
     def rows() -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield row | {"lines": page_lines(row.pop("html"))}
 
-    def result(before: dict | None, page: dict, after: dict | None) -> tuple:
+    def result(before: dict | None, page: dict, lines: list, after: dict | None) -> tuple:
         best, near = -1, None
         for other in (before, after):
             if other is not None and page["host"] is not None and other["host"] == page["host"]:
                 close = _shared_start(page["path"], other["path"])
                 if close > best:
                     best, near = close, other["lines"]
-        return page["page_id"], page["url"], main_text(page["lines"], near)
+        return page["page_id"], page["url"], main_text(lines, near)
 
     def out(found: list[tuple]) -> pa.RecordBatch:
         ids, urls, texts = zip(*found)
@@ -237,18 +268,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["page_id", "url", "text", "n_chars"],
         )
 
-    before, page, found = None, None, []
-    for after in rows():
-        if page is not None:
-            found.append(result(before, page, after))
-        before, page = page, after
-        if len(found) >= 500:
-            yield out(found)
-            found = []
-    if page is not None:
-        found.append(result(before, page, None))
-    if found:
-        yield out(found)
+    # Neighbours with the same lines, such as copies, tell nothing: a run of them is held, its lines once,
+    # until the next page with other lines comes.
+    before, run, found = None, [], []
+    for page in rows():
+        if run and (page["host"] != run[0]["host"] or page["lines"] != run[0]["lines"]):
+            found += [result(before, p, run[0]["lines"], page) for p in run]
+            before, run = run[-1] | {"lines": run[0]["lines"]}, []
+        run.append(page if not run else page | {"lines": None})
+        while len(found) >= 500:
+            yield out(found[:500])
+            found = found[500:]
+    found += [result(before, p, run[0]["lines"], None) for p in run]
+    for start in range(0, len(found), 500):
+        yield out(found[start : start + 500])
 
 
 def extract(
@@ -257,8 +290,8 @@ def extract(
     """``page_id``, ``url``, ``text`` (main text, empty if none) and ``n_chars`` of every row.
 
     Pages are dealt out by ranges of host and path, so a host with very many pages is spread over
-    tasks; the first and the last page of a range have a neighbour on one side. A task
-    holds three pages at a time. A null page is empty; a page without a host is compared with none;
+    tasks; the first and the last page of a range have a neighbour on one side. A page is compared with
+    the nearest page whose lines differ from its own: of a run of equal pages a task holds the lines once. A null page is empty; a page without a host is compared with none;
     repeated rows and rows without an id are rows like others; an empty table gives no rows.
     Further columns are not read.
     """
