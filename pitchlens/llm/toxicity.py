@@ -168,14 +168,15 @@ def fit(
     and toxic documents are ranked by how much of what marks toxic documents they hold (their
     features that are typical of toxic documents), and dealt out evenly to grades 1 to
     ``levels`` - 1. Null ids, labels and texts are left out; of several labels the highest counts.
-    The bound covers the labelled rows only; ids of the sample are broadcast, so at most ``rows``.
+    The bound covers the labelled rows only, also where an id is repeated (those with the smallest hashes
+    of id and text are used); ids of the sample are broadcast, so at most ``rows``.
     """
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     picked = picked.dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     picked = stage(picked.orderBy(F.xxhash64("_id"), "_id").limit(rows), "toxic-labels")
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).dropna()
-    sample = sample.join(F.broadcast(picked), "_id").select("text", F.col("_y").alias("toxic"))
-    sample = stage(sample, "toxic-sample")
+    sample = sample.join(F.broadcast(picked), "_id").orderBy(F.xxhash64("_id", "text"), "_id").limit(rows)
+    sample = stage(sample.select("text", F.col("_y").alias("toxic")), "toxic-sample")
     told = sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     totals = told.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("toxic").alias("n")).first()
     counts = told.mapInArrow(_counts, "feature string, toxic long, other long").groupBy("feature")
