@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitchlens.llm.common import WORD, let
+from pitchlens.llm.common import WORD, free_name, let
 from pitchlens.staging import stage
 
 #: Units that one step of the reduction tree pairs with one another.
@@ -210,6 +210,48 @@ def mix(
     )
 
 
+def mixed_documents(docs: DataFrame, source_col: str = "source", **more) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, whole, with how often it does.
+
+    Adds ``size``, ``source_size``, ``target``, ``copies`` (1 or more) and ``taken``, with underscores
+    before a name that ``docs`` already has. Rows are told apart by a hash of all their columns, missing ones
+    included, by source and by size, so ids may be missing or repeated. Rows equal in all columns stay as many
+    rows as the mix takes. An empty table gives no rows.
+    """
+    columns = docs.columns
+    row, source, size = (free_name(n, columns) for n in ("_row", "_source", "_size"))
+    values = [F.col(f"`{c}`") for c in columns]
+    words = F.coalesce(F.regexp_count(F.col(more.get("text_col", "text")), F.lit(WORD)), F.lit(0))
+    hashed = docs.withColumns({
+        row: F.xxhash64(*values, *(v.isNull() for v in values)),
+        source: F.col(source_col).cast("string"),
+        size: words.cast("long"),
+    })
+    drawn = mix(hashed, id_col=row, source_col=source, **more)
+    # Of equal rows some may be taken once more than the others.
+    plan = drawn.groupBy("doc_id", "source", "size", "source_size", "target").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("copies").alias("least"), F.sum("copies").alias("all")
+    )
+    plan = stage(plan.filter("all > 0"), "mix-plan").select(F.struct("*").alias("p"))
+    same = (
+        (F.col(row) == F.col("p.doc_id")) & F.col(source).eqNullSafe(F.col("p.source")) & (F.col(size) == F.col("p.size"))
+    )
+    single = hashed.join(plan.filter("p.rows = 1"), same).withColumn("copies_", F.col("p.least"))
+    many = plan.filter("p.rows > 1")
+    once = hashed.join(many, same, "left_semi").dropDuplicates([row, source, size]).join(many, same)
+    more_of = F.col("p.all") - F.col("p.rows") * F.col("p.least")
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("p.rows")))
+    repeated = once.withColumn("n_", number).withColumn(
+        "copies_", F.col("p.least") + F.when(F.col("n_") <= more_of, 1).otherwise(0)
+    )
+    taken = single.unionByName(repeated.drop("n_")).filter("copies_ > 0")
+    added = {
+        "size": F.col("p.size"), "source_size": F.col("p.source_size"), "target": F.col("p.target"),
+        "copies": F.col("copies_").cast("int"), "taken": (F.col("copies_") * F.col("p.size")).cast("long"),
+    }
+    return taken.select(*values, *(value.alias(free_name(name, columns)) for name, value in added.items()))
+
+
 def mixing_query(spark, folder: str) -> DataFrame:
     """op7: the contract's columns, and the copies."""
     return mix(spark.read.parquet(f"{folder}/documents.parquet")).select(
