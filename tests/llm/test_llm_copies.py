@@ -189,8 +189,16 @@ def test_vectors_of_an_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_forest_finds_nearly_all_pairs_of_check_data(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+def test_forest_finds_nearly_all_pairs_of_near_copies(spark):
+    """Groups of two to hundreds of near copies among the given vectors, which have no links themselves."""
+    rng = np.random.default_rng(3)
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    rows = [(int(i), np.asarray(v, float).tolist(), int(k)) for i, v, k in zip(given.vec_id, given.embedding, given.label)]
+    for _, vec, label in rows[:: 40]:
+        vec, size = np.array(vec), int(rng.choice([1, 2, 5, 20, 200], p=[0.4, 0.3, 0.2, 0.08, 0.02]))
+        noise = rng.standard_normal((size, len(vec))) * np.linalg.norm(vec) / np.sqrt(len(vec)) * rng.uniform(0.05, 0.3)
+        rows += [(len(rows) + 10**6 + i, (vec + n).tolist(), label) for i, n in enumerate(noise)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = vectors.near_vectors(df).agg(F.sum("n_links"), F.count_if(~F.col("kept"))).first()
     rows = df.toPandas()
     true, kept = 0, 0
@@ -199,7 +207,7 @@ def test_forest_finds_nearly_all_pairs_of_check_data(spark):
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         near = v @ v.T >= 0.93
         true += int(near.sum()) - len(v)
-    assert 0.98 * true <= got[0] <= true
+    assert true > 1000 and 0.98 * true <= got[0] <= true
 
 
 def cut_out(texts, least):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pitchlens.llm import mixing
@@ -85,7 +86,8 @@ def test_pipeline_stages(spark):
             assert out.count() <= docs.count()
             docs = corpus_pipeline.stage(out, f"test-{name}")
         else:
-            assert out.filter("copies < 1").count() == 0 and out.count() > 0
+            assert out.filter("_copies < 1").count() == 0 and out.count() > 0
+            assert out.columns[: len(docs.columns)] == docs.columns and "text" in out.columns
 
 
 def test_pipeline_runs(spark):
@@ -93,3 +95,31 @@ def test_pipeline_runs(spark):
     assert 0 < len(first) <= 200 and first.doc_id.is_unique
     again = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert first.sort_values("doc_id").values.tolist() == again.sort_values("doc_id").values.tolist()
+
+
+def test_mixed_documents_are_whole_rows(spark):
+    rows = [(i % 40 if i % 9 else None, "w " * (i % 13) if i % 11 else None, "ab"[i % 2] if i % 7 else None) for i in range(400)]
+    rows += [(5, "same words here", "a")] * 30 + [(6, "same words here", "b")]
+    docs = documents(spark, rows).withColumnRenamed("p", "copies")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == ["doc_id", "text", "source", "copies", "unit", "size", "source_size", "target", "_copies", "taken"]
+    want = mixing.mix(docs.withColumn("row", F.xxhash64("doc_id", "text", "source", F.col("doc_id").isNull())), id_col="row")
+    told = {(r.source, r.size): (r.n, r.taken) for r in want.filter("copies > 0").groupBy("source", "size").agg(
+        F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()}
+    found = got.toPandas()
+    assert (found._copies >= 1).all() and (found._copies <= 2).all() and (found.taken == found._copies * found["size"]).all()
+    assert {k: v[0] for k, v in told.items() if k[1] == 0} == {
+        (s, 0): n for s, n in got.filter("size = 0").groupBy("source").count().collect()
+    }
+    originals = {}
+    for r in rows:
+        originals[r] = originals.get(r, 0) + 1
+    for key, part in found.groupby(["doc_id", "text", "source"], dropna=False):
+        key = tuple(None if v is None or v != v else v for v in key)
+        assert len(part) <= originals[(None if key[0] is None else int(key[0]), key[1], key[2])]
+    for source, part in found.groupby(found.source.fillna("<null>")):
+        total = part.taken.sum()
+        assert abs(total - part.target.iloc[0]) <= part["size"].max() / 2 + 1
+    again = mixing.mixed_documents(docs.repartition(5)).toPandas()
+    assert sorted(map(str, again.values.tolist())) == sorted(map(str, found.values.tolist()))
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0

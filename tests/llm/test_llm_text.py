@@ -220,7 +220,7 @@ def test_toxicity_on_held_out_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels.filter("doc_id % 2 = 0"))
     assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
-    told = toxicity.score(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    told = toxicity.score(docs, model).drop("toxic").join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
     wrong = told[(told.p_toxic >= 0.5) & (told.toxic == 0)]
     found = told[(told.p_toxic >= 0.5) & (told.toxic == 1)]
     assert len(wrong) <= 0.005 * (told.toxic == 0).sum() and len(found) >= 0.85 * (told.toxic == 1).sum()
@@ -302,3 +302,51 @@ def test_sql_agrees(spark):
         got = queries.queries()[name](spark, FOLDER)
         expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected)), name
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    rows = [(1, f"you fool number {i}") for i in range(300)] + [(2, "calm words")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    staged = []
+    usual = toxicity.stage
+    try:
+        toxicity.stage = lambda df, label: staged.append((label, usual(df, label))) or staged[-1][1]
+        toxicity.fit(docs, labels, rows=40)
+    finally:
+        toxicity.stage = usual
+    assert dict(staged)["toxic-sample"].count() == 40
+
+
+KEPT_OUT = [
+    "<div class='comments'><article class='comment'><p>reader says</p></article></div>",
+    "<div class='related'><article><h3>Other</h3></article></div>",
+    "<article class='comment'><p>reader says</p></article>",
+    *(f"<div class='{c}'><p>frame</p></div>" for c in (
+        "comment-list", "comments-area", "ad-slot", "share-buttons", "cookieconsent", "main-nav", "site-footer", "cookie-bar")),
+]
+
+
+@pytest.mark.parametrize("extra", KEPT_OUT)
+def test_frames_in_the_main_element_are_left_out(extra):
+    page = f"<body class='right-sidebar'><main><p>Text</p>{extra}</main></body>"
+    assert htmltext.main_text(htmltext.page_lines(page), None) == "Text"
+    page = f"<article class='post comments-open'><p>Text</p>{extra}<p>More</p></article>"
+    assert htmltext.main_text(htmltext.page_lines(page), None) == "Text\n\nMore"
+
+
+def test_containers_of_the_article_are_no_frame():
+    for around in ("sidebar", "left-sidebar", "with-sidebar", "header", "menu"):
+        page = f"<div class='{around}'><article><p>Text, rather long</p></article></div><div class='sidebar'><article>x</article></div>"
+        assert htmltext.main_text(htmltext.page_lines(page), None) == "Text, rather long", around
+    assert htmltext.main_text(htmltext.page_lines("<article><p>Area <math><mi>a</mi></math> end</p></article>"), None) == "Area a end"
+    assert htmltext.main_text(htmltext.page_lines("<div class='no-sidebar'><p>Text</p></div>"), None) == "Text"
+
+
+def test_a_long_frame_goes_and_copies_are_passed_over(spark):
+    menu = "".join(f"<div>Menu {i}</div>" for i in range(10))
+    rows = [(i, f"https://h.org/a/{i}", f"{menu}<div>Own line</div>") for i in range(4)]
+    rows += [(9, "https://h.org/a/9", f"{menu}<div>Another line</div>"), (10, "https://other.org/a/1", f"{menu}<div>Alone</div>")]
+    got = {r.page_id: r.text for r in htmltext.extract(pages(spark, rows).coalesce(1)).collect()}
+    assert [got[i] for i in range(4)] == ["Own line"] * 4 and got[9] == "Another line"
+    assert got[10].startswith("Menu 0") and got[10].endswith("Alone")
