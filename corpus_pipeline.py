@@ -46,8 +46,12 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: how often (``copies``), and how many words (``taken``)."""
-    return mixing.mix(docs).filter("copies > 0")
+    """The documents that the mix takes, with their texts: how often (``copies``), how many words (``taken``).
+
+    Documents that it takes no copy of are left out; those without words count as taken if their
+    source is. An empty table gives no rows.
+    """
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
