@@ -9,7 +9,7 @@ Then the ranked strings around an anchor grow, and Spark ranks the positions ane
 - an anchor whose rank is unique is dropped: no window around it can repeat;
 - an anchor whose whole surroundings repeat (all windows that hold it) is settled;
 - for the others the windows are split into ranges, and those again. What all windows of a range have
-  in common grows (32, 153, 189, 198, then all 200 bytes); ranges with a unique rank drop out, ranges
+  in common grows (32, 153, 193, then all 200 bytes); ranges with a unique rank drop out, ranges
   that repeat as a whole are settled, and the rest is split down to single windows.
 
 One anchor stands for all that have equal surroundings, so large groups of copies cost one row beyond
@@ -31,7 +31,7 @@ from pitchlens.llm.common import among, table
 from pitchlens.staging import discard, stage
 
 #: Bytes of the first rank, and windows in the ranges of each later one (each divides the one before).
-START, RANGES = 32, (48, 12, 3, 1)
+START, RANGES = 32, (48, 8, 1)
 #: Windows that a task hashes at once; a bound on its memory only.
 WINDOWS_AT_ONCE = 1 << 17
 BASE = 0x9E3779B97F4A7C15
