@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -267,22 +268,49 @@ def test_scoring_beats_counts_and_knows_order(spark):
     got = {r.doc_id: r for r in scoring.score(df, lexicon, net).collect()}
     assert got[200].n_tokens == got[201].n_tokens == 0 and got[200].pll == 0 and got[200].mean_pll is None
     assert got[203].n_tokens == 20_000 and got[None].pll == pytest.approx(got[0].pll)
-    known = scoring._Buckets()
-    bucket = known.of(texts[0])
-    counts = np.log(lexicon.mass / lexicon.mass.sum())[lexicon.klass[bucket]] + lexicon.inside[bucket]
+    words = texts[0].split()
+    known = scoring._Words()
+    token = known.of(texts[0])
+    inputs, classes = lexicon.places(known.hashes(), known.endings())
+    number = Counter(w for t in [*texts, *odd, texts[0]] for w in (t or "").lower().split())
+    inside = np.log([number[w] / lexicon.mass[c] for w, c in zip(words, classes[token])])
+    assert lexicon.mass[classes[token[0]]] == number[words[0]]
+    counts = np.log([number[w] / sum(number.values()) for w in words])
     assert got[0].pll > 0.7 * counts.sum()
     shuffled = texts[0].split()
     rng.shuffle(shuffled)
     mixed = scoring.score(spark.createDataFrame([(0, " ".join(shuffled))], "doc_id long, text string"), lexicon, net)
     assert mixed.first().pll < got[0].pll
     # Brute force: every token on its own, from its own window.
-    pad, total = [scoring.INPUTS - 1] * 2, 0.0
-    line = pad + lexicon.input[bucket].tolist() + pad
-    for i, b in enumerate(bucket):
+    pad, total = [lexicon.sizes.inputs - 1] * 2, 0.0
+    line = pad + inputs[token].tolist() + pad
+    for i, t in enumerate(token):
         side = np.array([[line[i], line[i + 1], line[i + 3], line[i + 4]]])
-        total += net.forward(side)[1][0, lexicon.klass[b]] + lexicon.inside[b]
+        total += net.forward(side)[1][0, classes[t]] + inside[i]
     assert got[0].pll == pytest.approx(total, rel=1e-4)
     assert scoring.score(df.limit(0), *scoring.train(df.limit(0))).count() == 0
+    # Words that the corpus does not have, in documents of a table of their own.
+    other = spark.createDataFrame([(1, "xyzzy"), (2, "red")], "doc_id long, text string")
+    other = {r.doc_id: r.pll for r in scoring.score(other, lexicon, net).collect()}
+    assert np.isfinite(other[1]) and other[1] < other[2]
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SHARD_CHARS", 200_000)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionAll(docs.limit(5))
+    told = []
+    for parts in (2, 7):
+        dealt = scoring.deal(docs.repartition(parts))
+        assert dealt.rows.select("shard").distinct().count() > 2
+        rows = scoring.score(dealt, *scoring.train(dealt)).collect()
+        told.append(sorted((r.doc_id, r.n_tokens, r.pll) for r in rows))
+    assert len(told[0]) == docs.count() and told[0] == told[1]
+    # Better than the frequencies of words, which need no sides.
+    words = Counter(w for r in docs.collect() for w in (r.text or "").lower().split())
+    total = sum(words.values())
+    plain = sum(n * np.log(n / total) for n in words.values())
+    assert sum(pll for _, _, pll in told[0]) > plain
 
 
 def test_queries_read_whole_tables(spark):
