@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -269,8 +270,9 @@ def test_scoring_beats_counts_and_knows_order(spark):
     assert got[200].n_tokens == got[201].n_tokens == 0 and got[200].pll == 0 and got[200].mean_pll is None
     assert got[203].n_tokens == 20_000 and got[None].pll == pytest.approx(got[0].pll)
     words = texts[0].split()
-    known = scoring._Words()
-    token = known.of(texts[0])
+    known = scoring.Words(pa.array([None, texts[0], " "]))
+    token = known.token
+    assert known.names.take(pa.array(token)).to_pylist() == words and known.size.tolist() == [0, len(words), 0]
     inputs, classes = lexicon.places(known.hashes(), known.endings())
     number = Counter(w for t in [*texts, *odd, texts[0]] for w in (t or "").lower().split())
     inside = np.log([number[w] / lexicon.mass[c] for w, c in zip(words, classes[token])])
@@ -286,7 +288,7 @@ def test_scoring_beats_counts_and_knows_order(spark):
     line = pad + inputs[token].tolist() + pad
     for i, t in enumerate(token):
         side = np.array([[line[i], line[i + 1], line[i + 3], line[i + 4]]])
-        total += net.forward(side)[1][0, classes[t]] + inside[i]
+        total += net.forward(side)[0, classes[t]] + inside[i]
     assert got[0].pll == pytest.approx(total, rel=1e-4)
     assert scoring.score(df.limit(0), *scoring.train(df.limit(0))).count() == 0
     # Words that the corpus does not have, in documents of a table of their own.
