@@ -304,7 +304,10 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     told = []
     for parts in (2, 7):
         dealt = scoring.deal(docs.repartition(parts))
-        assert dealt.rows.select("shard").distinct().count() > 2
+        shards = dealt.rows.select("shard").distinct().count()
+        assert shards > 2
+        names = scoring._names(spark, 300).collect()
+        assert sorted(r.shard for r in names) == list(range(300)) and len({r.name for r in names}) == 300
         rows = scoring.score(dealt, *scoring.train(dealt)).collect()
         told.append(sorted((r.doc_id, r.n_tokens, r.pll) for r in rows))
     assert len(told[0]) == docs.count() and told[0] == told[1]
