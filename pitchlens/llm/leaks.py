@@ -22,7 +22,7 @@ from pitchlens.staging import stage
 
 #: Words of benchmark items that are broadcast at once.
 BLOCK_WORDS = 500_000
-#: An item of more words is matched in parts of about so many.
+#: Items are matched window by window: this many words, each window half a window after the last.
 PART_WORDS = 64
 #: Raw words that a task remembers; a bound on its memory only.
 WORDS_AT_ONCE = 500_000
@@ -50,7 +50,11 @@ class _Ids(dict):
 
 @dataclass
 class Block:
-    """Items of one block: word ids of their parts, and n-grams (as numbers) with their places."""
+    """Items of one block: word ids of their windows (``parts``), and n-grams with their places.
+
+    N-grams are numbered in 64 bits. Where there are more, some share a number; they are seeds for one
+    another, and the alignment tells them apart.
+    """
 
     items: list[int]
     parts: list[np.ndarray]
@@ -71,17 +75,21 @@ class Block:
         return value[at], at
 
 
+def window_starts(words: int) -> list[int]:
+    """Where the windows of an item start: all have ``PART_WORDS`` words, or there is one, the whole item."""
+    last = max(0, words - PART_WORDS)
+    return [*range(0, last, PART_WORDS // 2), last]
+
+
 def make_block(rows: list[tuple[int, str]], n: int) -> Block:
     vocabulary: dict[str, int] = {}
     items, parts = [], []
     for item, text in rows:
         words = [w.strip(EDGES) for w in (text or "").lower().split()]
         ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64)
-        for part in np.array_split(ids, max(1, -(-len(ids) // PART_WORDS))):
+        for start in window_starts(len(ids)):
             items.append(item)
-            parts.append(part)
-    if len(vocabulary) ** n >= 1 << 63:
-        raise ValueError("block too large for its n-grams to be numbered")
+            parts.append(ids[start : start + PART_WORDS])
     return Block(items, parts, vocabulary, n)
 
 
@@ -196,10 +204,10 @@ def leaks(
     """Documents that hold a copy of a benchmark item, possibly edited.
 
     Returns ``doc_id``, ``item_id``, ``score`` (alignment score divided by the item's words: 1 for
-    an exact copy; the best of its parts for items of more than ``PART_WORDS`` words), and the first
+    an exact copy; of items longer than ``PART_WORDS``, the best window of so many words), and the first
     and last word of the passage. Words are compared in lower case and without punctuation at their
     edges. Whole texts count. Null or blank texts match nothing, nor do items with fewer than ``n``
-    words; rows without an id are reported with null; repeated rows give repeated results; an empty
+    words, and items of any length and number of different words are matched; rows without an id are reported with null; repeated rows give repeated results; an empty
     table on either side gives none. Further columns are not read.
     """
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -256,6 +256,30 @@ def test_ordinal_fit_recovers_an_order():
     assert np.allclose(weights, [2, -1], atol=0.25) and np.allclose(cuts, [-1, 0.5, 2], atol=0.25)
 
 
+def test_windows_of_long_items(spark):
+    assert [leaks.window_starts(n) for n in (0, 1, 64, 65, 130)] == [[0], [0], [0], [0, 1], [0, 32, 64, 66]]
+    words = [f"w{i}" for i in range(300)]
+    bench = spark.createDataFrame([(n, " ".join(words[:n])) for n in (64, 65, 300)], "item_id long, text string")
+    # Any 27 words of a window are enough, wherever they are cut, whatever the length of the item.
+    pieces = [(i, "x y z " + " ".join(words[i : i + 27]) + " z y x") for i in range(0, 270, 9)]
+    pieces.append((1000, " ".join(words[:20])))
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(pieces, "doc_id long, text string"), bench).collect()}
+    assert {d for d, i in got if i == 300} == set(range(0, 270, 9))
+    for item in (64, 65):
+        assert {d for d, i in got if i == item} == {i for i in range(0, 270, 9) if i + 27 <= item + 1}
+
+
+def test_item_of_very_many_different_words():
+    rng = np.random.default_rng(1)
+    rows = [(1, " ".join(f"v{i}" for i in range(2_200_000)))]
+    block = leaks.make_block(rows, 3)
+    seeds, part_of, offsets = leaks.all_seeds(block)
+    at = int(rng.integers(1_000_000, 2_000_000))
+    found = leaks._finder(block, seeds, part_of, offsets, 0.4)
+    assert [f[0] for f in found(np.arange(at, at + 64))] == [1]
+    assert list(found(rng.integers(0, 2_200_000, 500))) == []
+
+
 def test_scoring_beats_counts_and_knows_order(spark):
     rng = np.random.default_rng(7)
     start = ["the", "a", "one"]
