@@ -354,7 +354,7 @@ def test_sql_agrees(spark):
 
     for name, sql in queries.oracle_sql().items():
         con = duckdb.connect()
-        for t in ("pages", "embeddings"):
+        for t in ("pages", "embeddings", "documents"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         got = queries.queries()[name](spark, FOLDER)
         expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
