@@ -1,18 +1,26 @@
 """Personal data, and the terms that give it away, on built-in functions only.
 
 Base spans (mail addresses, IP addresses, card and phone numbers) are found by pattern in every whole
-text. Their values are the protected entities. Information theory then says which other words
-disclose an entity: over all documents, a term that occurs together with an entity tells
+text. Their values are the protected entities; the account name of a mail address is one, too, so
+evidence of a person with several providers is pooled. Information theory then says which other words
+disclose an entity: of the information IC(e) = -log2 P(e) that an entity carries, a term that occurs
+with it tells PMI(e; t). What is left to guess is
 
-    PMI(e; t) / IC(e)  =  log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
+    IC(e) - PMI(e; t)  =  -log2 P(e | t)    bits.
 
-of the information that the entity itself carries; 1 means that the term always implies it. In
-documents that hold the entity, terms above ``generalise`` are generalised and terms above
-``remove`` are removed. A term counts only if it meets the entity in several different texts.
+P(e | t) is the lower end of its confidence interval (Wilson), so the fewer texts speak for a
+disclosure, the less it counts, without a least number of texts; copies of a text count for the share,
+not for the confidence. A word that is itself part of the account name counts once more. In documents
+that hold the entity, terms that leave ``generalise`` bits or less are generalised, those that leave
+``remove`` bits or less are removed. The measure does not depend on the size of the corpus.
+
+Domains and beginnings of numbers are no entities: with m holders they leave log2(m) bits at least.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +39,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LETTERS = r"\p{L}+"
+#: Terms of a text that one step pairs with its entities; long texts have several such parts.
+PART_TERMS = 1024
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 
@@ -137,44 +147,100 @@ def _sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def disclosing_terms(
-    docs: DataFrame, generalise: float = 0.9, remove: float = 0.97, texts: int = 3
-) -> DataFrame:
+def _entities(spans: Column) -> Column:
+    """The distinct entities of a text as hashes: values of spans, and account names of addresses."""
+    values = F.transform(spans, lambda s: F.xxhash64(s["rank"], s["value"]))
+    mails = F.filter(spans, lambda s: s["rank"] == 0)
+    return F.array_distinct(F.concat(values, F.transform(mails, lambda s: _account(s["value"]))))
+
+
+def _account(mail: Column) -> Column:
+    return F.xxhash64(F.lit(-1), F.substring_index(mail, "@", 1))
+
+
+def _own_words(spans: Column, terms: Column) -> Column:
+    """(account, word) for the words of account names that are also terms of the text."""
+    mails = F.filter(spans, lambda s: s["rank"] == 0)
+
+    def words(s: Column) -> Column:
+        found = F.regexp_extract_all(F.substring_index(s["value"], "@", 1), F.lit(LETTERS), F.lit(0))
+        inside = F.array_intersect(found, terms)
+        return F.transform(inside, lambda w: F.struct(_account(s["value"]).alias("e"), w.alias("t")))
+
+    return F.array_distinct(F.flatten(F.transform(mails, words)))
+
+
+def bits_left(both: Column, with_term: Column, texts: Column, z: float) -> Column:
+    """-log2 of the least P(e | t) to expect, from ``both`` of ``with_term`` documents.
+
+    ``texts`` is the number of different texts among ``both``, which the confidence comes from.
+    """
+    p = both / with_term
+    n = texts / p
+    middle = p + z * z / (2 * n)
+    spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return -F.log2((middle - spread) / (1 + z * z / n))
+
+
+def disclosing_terms(docs: DataFrame, generalise: float = 1.0, remove: float = 0.5, z: float = 1.28) -> DataFrame:
     """The terms to treat in each text that holds personal data.
 
     ``docs``: ``text``, ``k1``, ``k2``. Returns ``k1``, ``k2`` and ``flagged``, a map from term to what it
-    is replaced by. All counts are over all documents; pairs are formed only with entities that occur
-    in at least ``texts`` different texts, since no other can pass, and are summed before the shuffle.
+    is replaced by. All counts are over all documents. Null texts hold nothing; an empty table gives no rows.
+
+    Three exact bounds keep the pairs of entities and terms few. Even a term that never occurs without the
+    entity leaves too much unless as many texts as ``z`` asks for hold both. A term whose documents
+    mostly hold no such entity discloses none. And entities that occur in the same texts, such as
+    the addresses of one long list, are one class. Long texts form their pairs in parts.
     """
-    known = docs.filter("text is not null").withColumn("base", base_spans(F.col("text")))
-    known = known.filter(F.size("base") > 0).groupBy("k1", "k2").agg(
-        F.first("text").alias("text"), F.count(F.lit(1)).alias("c")
+    share = 2.0 ** -generalise
+    least = z * z * share / (1 - share) if share < 1 else math.inf
+    text = F.col("text")
+    known = docs.filter("text is not null").withColumn("base", base_spans(text)).filter(F.size("base") > 0)
+    known = known.groupBy("k1", "k2").agg(
+        F.first(F.struct("text", "base")).alias("row"), F.count(F.lit(1)).alias("c")
     )
-    known = stage(known, "privacy-texts")
-    held = known.select(
-        "k1", "k2", "c",
-        F.explode(
-            F.array_distinct(
-                F.transform(base_spans(F.col("text")), lambda s: F.xxhash64(s["rank"], s["value"]))
-            )
-        ).alias("e"),
+    known = known.select("k1", "k2", "c", _terms(F.col("row.text")).alias("ts"), F.col("row.base").alias("base"))
+    known = known.select(
+        "k1", "k2", "c", "ts", _entities(F.col("base")).alias("es"), _own_words(F.col("base"), F.col("ts")).alias("own")
     )
-    held = stage(held, "privacy-held")
-    often = held.groupBy("e").agg(F.sum("c").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    often = stage(often.filter(F.col("texts") >= texts).drop("texts"), "privacy-entities")
-    lists = held.join(often, "e").groupBy("k1", "k2").agg(F.collect_set("e").alias("es"))
-    lists = stage(lists, "privacy-lists")
-    both = known.join(lists, ["k1", "k2"]).select("k1", "k2", "c", "es", _terms(F.col("text")).alias("ts"))
-    both = both.withColumn("e", F.explode("es")).select("k1", "k2", "c", "e", F.explode("ts").alias("t"))
-    pairs = both.groupBy("e", "t").agg(F.sum("c").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-    pairs = stage(pairs.filter(F.col("texts") >= texts).drop("texts"), "privacy-pairs")
-    usage = docs.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    total = float(docs.count())
-    share = F.log(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
-    sure = pairs.join(often.filter(F.col("n_e") < total), "e").join(usage, "t").withColumn("share", share)
-    mark = F.when(F.col("share") >= remove, "[REMOVED]").otherwise("[TERM]")
-    sure = stage(sure.filter(F.col("share") >= generalise).select("e", "t", mark.alias("mark")), "privacy-sure")
-    met = both.select("k1", "k2", "e", "t").join(sure, ["e", "t"])
+    known = stage(known, "privacy-texts")
+
+    # Classes of entities that enough texts hold, by the set of these texts.
+    held = known.select("k1", "k2", F.explode("es").alias("e"))
+    places = [F.bit_xor(F.xxhash64(F.lit(seed), "k1", "k2")).alias(f"at{seed}") for seed in (1, 2)]
+    classes = held.groupBy("e").agg(F.count(F.lit(1)).alias("texts"), *places).filter(F.col("texts") >= least)
+    classes = classes.select("e", F.xxhash64("texts", "at1", "at2").alias("g"))
+    lists = stage(held.join(classes, "e").select("k1", "k2", "g").distinct(), "privacy-classes")
+
+    # Terms that can disclose one of them, and the words of account names; then how often these occur at all.
+    of_class = known.join(lists.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    used = of_class.select("c", F.explode("ts").alias("t")).groupBy("t")
+    used = used.agg(F.sum("c").alias("near"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least)
+    own = known.select("k1", "k2", "c", F.explode("own").alias("o")).select("k1", "k2", "c", "o.*")
+    own_pairs = own.groupBy("e", "t").agg(F.sum("c").alias("both"), F.count(F.lit(1)).alias("texts"))
+    wanted = used.select("t", "near").unionByName(own_pairs.select("t", F.lit(0).cast("long").alias("near")))
+    wanted = wanted.groupBy("t").agg(F.max("near").alias("near"))
+    usage = docs.select(F.explode(_terms(text)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    usage = stage(usage.join(wanted, "t"), "privacy-usage")
+    telling = usage.filter(F.col("near") >= F.col("n_t") * share).select("t")
+
+    terms = of_class.select("k1", "k2", "c", F.explode("ts").alias("t")).join(telling, "t")
+    terms = terms.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(1 << 20)))
+    size = terms.groupBy("k1", "k2").agg(F.ceil(F.count(F.lit(1)) / PART_TERMS).alias("parts"))
+    split = lists.join(size, ["k1", "k2"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    terms = terms.join(size, ["k1", "k2"]).withColumn("part", F.pmod("part", "parts"))
+    both = terms.join(split.drop("parts"), ["k1", "k2", "part"]).select("k1", "k2", "c", "g", "t")
+    pairs = both.groupBy("g", "t").agg(F.sum("c").alias("both"), F.count(F.lit(1)).alias("texts"))
+
+    def sure(pairs: DataFrame, key: str, more: int) -> DataFrame:
+        left = bits_left(F.col("both") + more, F.col("n_t") + more, F.col("texts") + more, z)
+        told = pairs.join(usage, "t").withColumn("left", left).filter(F.col("left") <= generalise)
+        return told.select(key, "t", F.when(F.col("left") <= remove, "[REMOVED]").otherwise("[TERM]").alias("mark"))
+
+    sure_classes = stage(sure(pairs, "g", 0), "privacy-sure")
+    met = both.join(sure_classes, ["g", "t"]).select("k1", "k2", "t", "mark")
+    met = met.unionByName(own.join(sure(own_pairs, "e", 1), ["e", "t"]).select("k1", "k2", "t", "mark"))
     met = met.groupBy("k1", "k2", "t").agg(F.min("mark").alias("mark"))
     flagged = F.map_from_entries(F.collect_list(F.struct("t", "mark")))
     return stage(met.groupBy("k1", "k2").agg(flagged.alias("flagged")), "privacy-flagged")
@@ -182,9 +248,9 @@ def disclosing_terms(
 
 def sanitise(
     docs: DataFrame,
-    generalise: float = 0.9,
-    remove: float = 0.97,
-    texts: int = 3,
+    generalise: float = 1.0,
+    remove: float = 0.5,
+    z: float = 1.28,
     text_col: str = "text",
 ) -> DataFrame:
     """``doc`` (a row of ``docs`` with all its columns), ``base``, ``spans`` and ``clean``.
@@ -197,7 +263,7 @@ def sanitise(
     text = F.col("doc").getField(text_col)
     rows = docs.select(F.struct("*").alias("doc"))
     rows = rows.withColumns({"k1": F.xxhash64(text), "k2": F.char_length(text)})
-    terms = disclosing_terms(rows.select(text.alias("text"), "k1", "k2"), generalise, remove, texts)
+    terms = disclosing_terms(rows.select(text.alias("text"), "k1", "k2"), generalise, remove, z)
     none = F.array().cast(SPAN)
     rows = rows.withColumn("base", F.coalesce(base_spans(text), none))
     some = F.size("base") > 0

@@ -155,11 +155,76 @@ def test_disclosing_terms_are_treated(spark):
     assert "zara" not in got[1].clean.lower() and got[10].clean == rows[10][1]
     assert got[len(secret + other)].clean is None and got[len(secret + other) + 2].clean == "zarathustra spoke"
     assert privacy.sanitise(df).count() == len(rows) and privacy.sanitise(df.limit(0)).count() == 0
-    # The share of a term by hand: it occurs with the entity only, so it tells all of it.
     spans = {privacy.KINDS[s["rank"]] for s in got[2].spans}
     assert spans == {"email", "term"}
 
 
+def plain_disclosure(texts, generalise=1.0, remove=0.5, z=1.28):
+    """Terms to treat by text: every entity with every term, by loops."""
+    entities, terms, own = {}, {}, set()
+    for text in set(texts):
+        spans = [x.split(":") for x in plain_spans(text).split(",") if x]
+        entities[text] = set()
+        for kind, start, stop in spans:
+            value = text[int(start):int(stop)].lower()
+            entities[text].add(value if kind in ("email", "ip") else (kind, re.sub("[^0-9]", "", value)))
+            if kind == "email":
+                account = "account " + value.split("@")[0]
+                entities[text].add(account)
+                own |= {(account, w) for w in re.findall("[a-z]+", value.split("@")[0])}
+        bare = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", " ", text)
+        terms[text] = set(re.findall("[a-z]+", bare.lower()))
+    out = {text: {} for text in terms}
+    for e in set().union(*entities.values()):
+        having = [text for text in terms if e in entities[text]]
+        for t in set().union(*(terms[text] for text in having)):
+            met = [text for text in having if t in terms[text]]
+            more = (e, t) in own
+            p = (sum(texts.count(x) for x in met) + more) / (sum(t in terms[x] for x in texts) + more)
+            n = (len(met) + more) / p
+            low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+            if -np.log2(low) <= generalise:
+                mark = "[REMOVED]" if -np.log2(low) <= remove else "[TERM]"
+                for text in met:
+                    out[text][t] = min(mark, out[text].get(t, mark))
+    return out
+
+
+@pytest.mark.parametrize("part_terms", [1024, 2])
+def test_disclosing_terms_equal_brute_force(spark, monkeypatch, part_terms):
+    monkeypatch.setattr(privacy, "PART_TERMS", part_terms)
+    rng = np.random.default_rng(8)
+    names = ["anna", "bo.li", "cem.7", "dora-k", "info"]
+    texts = []
+    for i in range(120):
+        words = list(rng.choice([f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"], 4)) + ["the"]
+        if i % 2:
+            who = int(rng.integers(5))
+            words += [f"{names[who]}@{rng.choice(['x.org', 'y.net'])}", *rng.choice([f"k{'abcde'[who]}", "li", "dora"], 2)]
+        if i % 7 == 0:
+            words += ["10.0.0.%d" % rng.integers(3), "+49 30 123456%d" % rng.integers(3), "call"]
+        if i % 40 == 0:
+            words += [f"lonely@z{i}.org", f"{'abcd'[i // 40]}only", "lonely"]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:30] + texts[:1] * 40
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df = df.withColumns({"k1": F.xxhash64("text"), "k2": F.char_length("text")})
+    flagged = privacy.disclosing_terms(df)
+    got = df.dropDuplicates(["text"]).join(flagged, ["k1", "k2"], "left").collect()
+    expected = plain_disclosure(texts)
+    assert {r.text: r.flagged or {} for r in got} == expected
+    marks = [m for found in expected.values() for m in found.values()]
+    assert {"[TERM]", "[REMOVED]"} == set(marks)
+
+
+def test_words_of_an_only_address_are_treated(spark):
+    rows = [(1, "Dear Quillon, write to quillon.9@x.org today"), (2, "write today dear all"), (3, "dear you")]
+    rows += [(i, f"write to you today, dear {'abcdefgh'[i - 4]}") for i in range(4, 12)]
+    got = {r.doc.doc_id: r.clean for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "Dear [TERM], write to [EMAIL] today" and all(got[i] == t for i, t in rows[1:])
+
+
 def test_decontamination_finds_edited_copies(spark):
     rng = np.random.default_rng(5)
     words = np.array([f"{a}{b}" for a in "bcdfghklmnprst" for b in ("an", "el", "ir", "os", "um", "ep", "ak")])
