@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchlens.llm.common import let, table
+from pitchlens.llm.common import among, let, table
 from pitchlens.staging import stage
 
 #: The kinds in their order.
@@ -258,16 +258,17 @@ def sanitise(
     ``base`` holds the base spans; ``spans`` also the terms that disclose an entity of the same text,
     where they do not overlap a base span; ``clean`` is the treated text. Positions are code points.
     A null text has no spans and stays null; copies of a text get equal results; an empty table gives
-    no rows. Only texts with personal data are joined with their terms; all others pass through.
+    no rows. Only texts with
+    terms to treat, and few others whose hash meets theirs in a bitmap, are joined with their terms.
     """
     text = F.col("doc").getField(text_col)
     rows = docs.select(F.struct("*").alias("doc"))
     rows = rows.withColumns({"k1": F.xxhash64(text), "k2": F.char_length(text)})
     terms = disclosing_terms(rows.select(text.alias("text"), "k1", "k2"), generalise, remove, z)
     none = F.array().cast(SPAN)
-    rows = rows.withColumn("base", F.coalesce(base_spans(text), none))
-    some = F.size("base") > 0
-    private = rows.filter(some).join(terms, ["k1", "k2"], "left")
+    rows = among(rows, F.col("k1"), terms.select("k1"))
+    spans = F.coalesce(base_spans(text), none)
+    private = rows.filter("_maybe").join(terms, ["k1", "k2"], "left").withColumn("base", spans)
     more = F.when(F.col("flagged").isNotNull(), _term_spans(text, F.col("flagged")))
     private = private.withColumn("more", F.coalesce(more, none))
     apart = F.filter(
@@ -275,9 +276,9 @@ def sanitise(
         lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
     )
     private = private.withColumn("spans", F.array_sort(F.concat("base", apart)))
-    private = private.select("doc", "base", "spans", _sanitised(text, F.col("spans")).alias("clean"))
-    plain = rows.filter(~some).select("doc", "base", F.col("base").alias("spans"), text.alias("clean"))
-    return private.unionByName(plain)
+    plain = rows.filter("not _maybe").withColumn("base", spans).withColumn("spans", F.col("base"))
+    clean = _sanitised(text, F.col("spans")).alias("clean")
+    return private.select("doc", "base", "spans", clean).unionByName(plain.select("doc", "base", "spans", clean))
 
 
 def privacy_query(spark, folder: str) -> DataFrame:
