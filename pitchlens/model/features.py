@@ -14,7 +14,7 @@ from pitchlens.functions.columns import ATTRIBUTE_ORDER
 from pitchlens.functions.scalars import per_minute
 from pitchlens.operators.rolling import as_of
 from pitchlens.reports.common import sides
-from pitchlens.skew import HotKeys, split_join
+from pitchlens.skew import HotKeys, by_key_size, find_hot, split_join
 
 DAY = "target_match_timestamp"
 ATTRIBUTES = ATTRIBUTE_ORDER
@@ -76,8 +76,59 @@ def asof_scores(
         return as_of(lineups, scores, keys, "matchday", DAY, attributes, hot=hot).select(
             "matchid", *keys, F.col("_as_of").alias("score_day"), *attributes
         )
-    # Of the two latest days with scores, the first that has a match other than this one. All
-    # rows of that day are taken.
+    if hot is None:
+        hot = find_hot(lineups.select(*keys).unionByName(scores.select(*keys)), keys)
+    offered = scores.dropna(subset=keys).select(
+        *keys, "matchid", F.col(DAY).alias("_day"), F.struct(*attributes).alias("_values"), F.lit(True).alias("_offered")
+    )
+    asking = lineups.select(*keys, "matchid", F.lit(False).alias("_offered"))
+    rows = asking.unionByName(offered, allowMissingColumns=True)
+    columns = ["matchid", *keys, "score_day", *attributes]
+
+    def usual(part: DataFrame) -> DataFrame:
+        return _latest_other(part, keys).select(*columns)
+
+    def heavy(part: DataFrame) -> DataFrame:
+        values = part.filter("_offered").select(*keys, "matchid", F.col("_day").alias(DAY), "_values.*")
+        asked = part.filter(~F.col("_offered")).select(*keys, "matchid")
+        return _latest_other_by_join(asked, values, keys, attributes, hot).select(*columns)
+
+    return by_key_size(rows, list(hot.keys), usual, heavy, hot=hot)
+
+
+def _latest_other(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Offered and asking rows of a key meet in one shuffle; windows carry the key's two latest days.
+
+    Of these days the first with a match other than the asking one; all rows of that day are taken.
+    Asking rows whose key has no scores stay, with NULLs, those with scores of their own match only go.
+    """
+    key = W.partitionBy(*keys)
+    newest = F.col("_day") == F.col("_first")
+    entry = F.struct(F.col("_day").alias("day"), F.col("_values").alias("v"))
+    rows = rows.withColumns({"_first": F.max("_day").over(key), "_known": F.max("_offered").over(key)})
+    rows = rows.withColumns(
+        {
+            "_second": F.max(F.when(F.col("_day") < F.col("_first"), F.col("_day"))).over(key),
+            "_n": F.count(F.when(newest, 1)).over(key),
+            "_in": F.max(F.when(newest, F.col("matchid"))).over(key),
+        }
+    )
+    of_two = F.col("_day") >= F.coalesce("_second", "_first")
+    rows = rows.withColumn("_entries", F.collect_list(F.when(of_two, entry)).over(key))
+    is_other = (F.col("_n") > 1) | (F.col("_in") != F.col("matchid"))
+    asked = rows.filter(~F.col("_offered")).withColumn(
+        "score_day", F.when(is_other, F.col("_first")).otherwise(F.col("_second"))
+    )
+    asked = asked.filter(~F.col("_known") | F.col("score_day").isNotNull())
+    found = F.filter("_entries", lambda e: e["day"] == F.col("score_day"))
+    asked = asked.select("matchid", *keys, "score_day", F.explode_outer(found).alias("_found"))
+    return asked.select("matchid", *keys, "score_day", "_found.v.*")
+
+
+def _latest_other_by_join(
+    lineups: DataFrame, scores: DataFrame, keys: list[str], attributes: Sequence[str], hot: HotKeys
+) -> DataFrame:
+    """The same for hot keys: days are counted first, and the answers joined back in parts."""
     days = scores.groupBy(*keys, DAY).agg(
         F.count(F.lit(1)).alias("n"), F.max("matchid").alias("scored_in")
     )

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from conftest import as_set, day
 
@@ -6,6 +7,7 @@ from pitchlens.model import features, training
 from pitchlens.operators.ranked import ranked_points
 from pitchlens.reports import coplay, overview, trainers
 from pitchlens.schema import SCHEMAS
+from pitchlens.skew import HotKeys, find_hot
 
 
 def test_ranked_points_without_goals_are_zero(make_tables):
@@ -94,3 +96,33 @@ def test_errors_take_the_goals_as_truth(spark):
     got = training.model_errors(rows).first()
     assert abs(got.mae - 0.5) < 1e-12 and abs(got.mse - 1.25 / 3) < 1e-12
     assert abs(got.r2 - (1 - 1.25 / 8)) < 1e-12
+
+
+def test_latest_other_match_in_one_pass_and_split(spark, make_tables):
+    rng = random.Random(3)
+    some = lambda *values: rng.choice(values)
+    scores = {
+        (some(1, 2, 3, None), rng.randrange(8), some(10, 20, None), some(day(3), day(4), day(9), None), rng.random())
+        for _ in range(60)
+    }
+    scores = list({(p, m, t): row for row in scores for p, m, t in [row[:3]]}.values())
+    lineups = [(m, t, p, day(5)) for m in range(9) for t in (10, 20, None) for p in (1, 2, 3, 4, None)]
+    expected = set()
+    for m, t, p, _ in lineups:
+        own = [r for r in scores if r[0] == p and r[2] == t and None not in (p, t)]
+        dated = [r for r in own if r[3]]
+        other = {r[3] for r in dated if r[1] != m}
+        latest = sorted({r[3] for r in dated})[-2:]
+        days = [d for d in latest if d in other]
+        if not own:
+            expected.add((m, t, p, None, None))
+        elif days:
+            expected |= {(m, t, p, r[3], r[4]) for r in dated if r[3] == days[-1]}
+    scores = spark.createDataFrame(
+        scores, "playerid bigint, matchid bigint, teamid bigint, target_match_timestamp date, v double"
+    )
+    lineups = spark.createDataFrame(lineups, "matchid bigint, teamid bigint, playerid bigint, matchday date")
+    for hot in (HotKeys(("playerid",)), find_hot(lineups, ["playerid"], 10)):
+        got = features.asof_scores(lineups, scores, ["v"], compat=True, hot=hot)
+        assert got.count() == len(expected)
+        assert as_set(got, "matchid", "teamid", "playerid", "score_day", "v") == expected
