@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pitchlens.functions.scalars import POSITION_KINDS
 from pitchlens.schema import Tables
+from pitchlens.skew import dealt_by, find_hot
 from pitchlens.staging import stage
 
 
@@ -35,9 +36,13 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def appearances(spark: SparkSession, folder: str, match: DataFrame) -> DataFrame:
-    """One row per order and supplier. Line items are combined before they meet the match."""
+    """One row per order and supplier. Line items are combined before they meet the match.
+
+    They are dealt out by order once, for both; orders with too many of them for one task are combined first.
+    """
+    lines = _read(spark, folder, "lineitem").dropna(subset=["l_orderkey"])
     per_supplier = (
-        _read(spark, folder, "lineitem")
+        dealt_by(lines, "l_orderkey", find_hot(lines, ["l_orderkey"]))
         .groupBy("l_orderkey", "l_suppkey")
         .agg(
             F.min("l_linenumber").alias("line"),
