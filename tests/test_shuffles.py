@@ -4,7 +4,8 @@ import pytest
 from conftest import FOLDER, as_set, day
 
 from pitchlens import skew
-from pitchlens.operators import neutral, ranked
+from pitchlens.functions.columns import RANKED
+from pitchlens.operators import neutral, ranked, rolling
 from pitchlens.sources import adapter
 
 
@@ -59,3 +60,33 @@ def test_matches_with_too_many_goals_give_the_same(make_tables, monkeypatch):
     # Line-ups, substitutions and cards alone are few.
     assert [r.matchid for r in tables.hot_matches.rows.collect()] == [1]
     assert as_set(ranked.ranked_points(tables), *columns) == want
+
+
+def _both_ways(tables, monkeypatch):
+    """``neutral_ranked_last_x`` with ``compat`` by windows alone, and by the join that hot players take."""
+    stored = ranked.credited(tables, 2)
+    windows = ranked.neutral_ranked_last_x(tables, (2,), stored=stored, compat=True)
+    points = ranked.ranked_points(tables, 2, stored)
+    keys = ["playerid", "matchid", "teamid", "saison", "tournament", "target_match_timestamp", "playtime_last_2"]
+    career = rolling.last_x(points, (2,), keep=["saison", "tournament"], hot=tables.hot_players)
+    season = rolling.last_x(
+        points, (2,), (RANKED,), scope=("playerid", "saison"), keep=["tournament"], hot=tables.hot_players
+    )
+    return windows, career.join(season, keys)
+
+
+def test_histories_with_equal_playtimes_need_one_shuffle(spark, make_tables, no_shortcuts, monkeypatch):
+    lengths = {1: 90, 2: 120, 3: 90, 4: 90, 5: 100}
+    matches = [(m, day(200 * m), 10, 20, lengths[m]) for m in lengths]
+    tables = make_tables(
+        # The second match is listed twice, with another length.
+        match=[*matches, (2, day(400), 10, 20, 90)],
+        player=[(p, m, 10 * p) for m in lengths for p in (1, 2)] + [(3, 3, None)],
+        goal=[(m, 10 * (1 + m % 2), 9 * m, m % 2 + 1) for m in lengths],
+    )
+    windows, joined = _both_ways(tables, monkeypatch)
+    assert exchanges(windows) == 1 < exchanges(joined)
+    assert windows.columns == joined.columns
+    told = [sorted(map(str, df.collect())) for df in (windows, joined)]
+    assert told[0] == told[1] and len(told[0]) > len(set(told[0])) > 4
+    assert len(told[0]) != 12  # not simply every row
