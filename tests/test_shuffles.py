@@ -90,3 +90,10 @@ def test_histories_with_equal_playtimes_need_one_shuffle(spark, make_tables, no_
     told = [sorted(map(str, df.collect())) for df in (windows, joined)]
     assert told[0] == told[1] and len(told[0]) > len(set(told[0])) > 4
     assert len(told[0]) != 12  # not simply every row
+
+
+def test_form_carries_only_the_ends_of_a_spell(make_tables):
+    tables = make_tables(match=[(1, day(1), 10, 20)], player=[(1, 1, 10)], goal=[(1, 20, 5, 1)])
+    row = ranked._form(tables, 1, lambda df, label: df).first()
+    assert [s.asDict() for s in row.spells] == [{"in_time": 0, "out_time": 90}]
+    assert (row.playtime, row["def"]) == (90, -1)
