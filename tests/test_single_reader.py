@@ -60,3 +60,14 @@ def test_the_last_match_alone_needs_no_history(spark, make_tables):
     assert told.count("Window [") == 1 and "windowspecdefinition(playerid" in told
     assert rows(one) == rows(both.select(*one.columns))
     assert dict(one.dtypes) == dict(both.select(*one.columns).dtypes)
+
+
+@pytest.mark.parametrize("query", ["worst5_avg_off", "topn_cumulative_avg_def", "filtered_count", "relevant_tournaments"])
+def test_seasons_that_are_not_read_are_not_made(data, spark, query):
+    alone, shared = both_ways(data, spark, query, "results")
+    assert alone == shared and alone
+
+
+def test_results_of_a_season_are_those_of_all(data):
+    season = rows(data.results_of(["1998"]))
+    assert season == rows(data.results.filter("saison = '1998'")) and season
