@@ -71,3 +71,9 @@ def test_seasons_that_are_not_read_are_not_made(data, spark, query):
 def test_results_of_a_season_are_those_of_all(data):
     season = rows(data.results_of(["1998"]))
     assert season == rows(data.results.filter("saison = '1998'")) and season
+
+
+@pytest.mark.parametrize("query", ["playtime_by_position", "top_playtime"])
+def test_times_are_not_stored_for_one_reader(data, spark, query):
+    alone, shared = both_ways(data, spark, query, "played")
+    assert alone == shared and alone
