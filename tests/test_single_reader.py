@@ -77,3 +77,22 @@ def test_results_of_a_season_are_those_of_all(data):
 def test_times_are_not_stored_for_one_reader(data, spark, query):
     alone, shared = both_ways(data, spark, query, "played")
     assert alone == shared and alone
+
+
+def test_compared_players_need_one_x(data, spark):
+    alone, shared = both_ways(data, spark, "team_minus_player", "scores")
+    assert alone == shared and alone
+
+
+def test_players_of_hot_matches_compare_the_same(data, monkeypatch):
+    tables, aged = data.tables, data.aged_scores((1,))
+    want = rows(careers.team_minus_player(aged, tables.profile, hot_matches=skew.HotKeys(("matchid",)), hot_players=tables.hot_players))
+    hot = skew.find_hot(aged, ["matchid"], 2)
+    assert hot.number > 1
+    assert rows(careers.team_minus_player(aged, tables.profile, hot_matches=hot, hot_players=tables.hot_players)) == want
+
+
+def test_scores_by_player_are_the_stored_ones(data):
+    alone = data.scores_by_player()
+    assert "scores" not in data.__dict__
+    assert rows(alone) == rows(scores.score_with_age(data.tables).drop("age"))
