@@ -92,6 +92,27 @@ def test_players_of_hot_matches_compare_the_same(data, monkeypatch):
     assert rows(careers.team_minus_player(aged, tables.profile, hot_matches=hot, hot_players=tables.hot_players)) == want
 
 
+def test_segments_with_goals_are_told_once_per_player(make_tables):
+    minutes = [None, -1, 0, 1, 5, 6, 10, 11, 64, 65, 66, 119, 120, 121, 200]
+    tables = make_tables(
+        match=[(m, day(m), 10, 20, 120) for m in range(len(minutes))],
+        player=[(1, m, 10) for m in range(len(minutes))],
+        goal=[(m, 20, t, named) for m, t in enumerate(minutes) for named in (None, None, 2)],
+    )
+    for compat in (False, True):
+        found = segments.goalless_segments(tables, compat)
+        got = sorted((r.matchid, r.segment_from) for r in found.collect())
+        want = []
+        for m, t in enumerate(minutes):
+            for first in range(0, 120, 5):
+                hit = t is not None and first < t <= first + 5
+                want += [(m, first)] * (2 * compat if hit else 1)
+        assert got == want
+    plan = segments.goalless_segments(tables)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate explode(sequence")[0]
+    assert above != plan and "lambda" not in above  # no function is called per segment
+
+
 def test_scores_by_player_are_the_stored_ones(data):
     alone = data.scores_by_player()
     assert "scores" not in data.__dict__
