@@ -113,6 +113,19 @@ def test_segments_with_goals_are_told_once_per_player(make_tables):
     assert above != plan and "lambda" not in above  # no function is called per segment
 
 
+def test_only_two_days_of_scores_are_offered(data, monkeypatch):
+    tables, keys = data.tables, ["teamid", "playerid"]
+    table = data.scores_by_player((1,))
+    lineups = features.lineups_since(tables.match, tables.player, 1996, tables.hot_matches)
+    few = features._two_latest_days(table, keys)
+    assert 0 < few.count() < table.count()
+    assert few.groupBy(*keys).agg({"target_match_timestamp": "count"}).count() == table.select(*keys).distinct().count()
+    attributes = ["playtime_last_1", total_col("off", 1)]
+    usual = features.asof_scores(lineups, table, attributes, compat=True, hot=tables.hot_players)
+    joined = features._latest_other_by_join(lineups.select("matchid", *keys), table, keys, attributes, tables.hot_players)
+    assert rows(usual) == rows(joined) and usual.count() > 0
+
+
 def test_scores_by_player_are_the_stored_ones(data):
     alone = data.scores_by_player()
     assert "scores" not in data.__dict__
