@@ -6,7 +6,7 @@ from conftest import FOLDER, day
 from pitchlens import layout, skew
 from pitchlens.operators import neutral, pitch_time, ranked, rolling
 from pitchlens.plans import dataset
-from pitchlens.staging import new_path
+from pitchlens.staging import new_path, stage
 
 
 @pytest.fixture
@@ -80,3 +80,23 @@ def test_a_layout_is_opened_by_another_application(spark, no_shortcuts):
 def test_buckets():
     assert [layout.buckets_for(n, 8) for n in (0, 1, 16_000_000, 17_000_000)] == [8, 8, 8, 16]
     assert layout.buckets_for(0, 12) == 16
+
+
+def test_times_and_weights_are_stored_in_as_few_shuffles_as_can_be(spark, no_shortcuts, monkeypatch):
+    tables = dataset.dataset_of(spark, FOLDER).tables
+    by_key, plain = [], []
+
+    def dealt(df, label, keys, buckets, is_dealt=False):
+        by_key.append((label, exchanges(df), is_dealt))
+        return real(df, label, keys, buckets, is_dealt)
+
+    real = layout.stage_by_key
+    monkeypatch.setattr(layout, "stage_by_key", dealt)
+    monkeypatch.setattr(layout, "stage", lambda df, label: plain.append(label) or stage(df, label))
+    laid = layout.lay_out(tables, buckets=8)
+    found = rows(laid.ranked_points())
+    assert [label for label, *_ in by_key] == ["by-match-match", "by-match-goal", "by-match-entries", "form", "ranked-1"]
+    assert ("by-match-entries", 1, True) in by_key and plain == ["credited"]
+    assert found == rows(ranked.ranked_points(tables).select(*laid.ranked_points().columns))
+    files = laid.tables.stored_entries.inputFiles()
+    assert 0 < len(files) <= 8
