@@ -1,5 +1,7 @@
 """What a single query needs of the shared tables: seasons, X and days that it does not read are not made."""
 
+from dataclasses import replace
+
 import pytest
 from conftest import FOLDER, day
 
@@ -126,6 +128,15 @@ def test_only_two_days_of_scores_are_offered(data, monkeypatch):
     assert rows(usual) == rows(joined) and usual.count() > 0
 
 
+def test_players_with_several_profiles_keep_their_rows(data):
+    twice = data.tables.profile.unionByName(data.tables.profile)
+    data = dataset.DataSet(replace(data.tables, profile=twice), dataset.ORDERS_FEATURES_SINCE)
+    alone = [rows(registry._asof(data, compat)) for compat in (False, True)]
+    assert "scores" not in data.__dict__ and data.scores.count() > data.scores_by_player().count()
+    assert alone == [rows(registry._asof(data, compat)) for compat in (False, True)]
+    assert len(alone[1]) > len(set(alone[1]))
+
+
 def test_scores_by_player_are_the_stored_ones(data):
     alone = data.scores_by_player()
     assert "scores" not in data.__dict__
