@@ -407,6 +407,18 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert sum(pll for _, _, pll in told[0]) > plain
 
 
+def test_copies_of_a_text_get_the_same_score_to_the_last_bit(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(150, 400, 40)]
+    rows = [(100 * i + k, t) for i, t in enumerate(texts) for k in range(30)] + [(9001, None), (9002, "")]
+    dealt = scoring.deal(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_tokens, r.pll) for r in scoring.score(dealt, *scoring.train(dealt)).collect()}
+    assert len(got) == len(rows) and got[9001] == got[9002] == (0, 0.0)
+    for i, text in enumerate(texts):
+        assert len({got[100 * i + k] for k in range(30)}) == 1 and got[100 * i][0] == len(text.split())
+
+
 def test_queries_read_whole_tables(spark):
     assert list(queries.queries()) == sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     n_docs = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
