@@ -25,7 +25,7 @@ BLOCK_WORDS = 500_000
 #: Items are matched window by window: this many words, each window half a window after the last.
 PART_WORDS = 64
 #: Raw words that a task remembers; a bound on its memory only.
-WORDS_AT_ONCE = 500_000
+WORDS_AT_ONCE = 50_000
 EDGES = string.punctuation + "«»“”„‘’¿¡…"
 MATCHES = "doc_id long, item_id long, score double, first_word long, last_word long"
 

@@ -164,7 +164,9 @@ def links(prints: DataFrame, distinct: int, radius: int = 4) -> DataFrame:
 def _classes(known: DataFrame, radius: int) -> DataFrame:
     """``fp``, ``first_id`` (smallest id with it) and ``root`` (of its component) per fingerprint."""
     nodes = stage(known.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), nodes.count(), radius), "simhash")
+    # Stored, as workers of two Python steps in one task would both stay in the executor's memory.
+    met = stage(links(nodes.select("fp"), nodes.count(), radius), "simhash-met")
+    roots = components(met, "simhash")
     return nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )

@@ -250,3 +250,18 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed):
     expected = [(str(i), *row) for i, row in zip(ids, cut_out(texts, 200))]
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(expected)
     assert repeats.without_repeats(docs(spark, [])).count() == 0
+
+
+def test_python_steps_of_the_links_do_not_share_a_task(spark, monkeypatch):
+    plans = []
+    usual = simhash.components
+
+    def components(links, label):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return usual(links, label)
+
+    monkeypatch.setattr(simhash, "components", components)
+    text = " ".join(f"word{i}" for i in range(400))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, [text, text + " end", "other"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    assert len(plans) == 1 and "InArrow" not in plans[0]
