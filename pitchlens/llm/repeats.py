@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +74,13 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
+def _entries(column: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """How many entries each list of structs has, and the fields of all entries, an array each."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column)
+    return sizes, {f.name: pc.struct_field(flat, f.name) for f in flat.type}
+
+
 def _anchors(data: np.ndarray, ends: np.ndarray, least: int) -> dict[str, np.ndarray]:
     """Anchors of all windows inside one value each: value, position, window range and two ranks.
 
@@ -145,15 +153,18 @@ def _surroundings(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, k1, k2, spots in zip(*(batch.column(i) for i in range(4))):
-                text = text.as_py()
-                rows = [
-                    s | {"k1": k1.as_py(), "k2": k2.as_py(),
-                         "bytes": text[s["pos"] - s["far"] : s["pos"] - s["near"] + least]}
-                    for s in spots.as_py()
-                ]
-                for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pylist(rows[i : i + 10_000], schema=kinds)
+            data, ends = _flat(batch.column(0))
+            data = data.tobytes()
+            n, spots = _entries(batch.column(3))
+            own = np.repeat(np.arange(len(n)), n)
+            pos, near, far = (spots[c].to_numpy().astype(np.int64) for c in ("pos", "near", "far"))
+            start, stop = ends[own] + pos - far, ends[own] + pos - near + least
+            for i in range(0, len(own), 10_000):
+                some = slice(i, i + 10_000)
+                cut = [data[a:b] for a, b in zip(start[some].tolist(), stop[some].tolist())]
+                columns = [batch.column(c).take(pa.array(own[some])) for c in (1, 2)]
+                columns += [spots[f.name][some] for f in list(kinds)[2:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], schema=kinds)
 
     return run
 
@@ -194,30 +205,47 @@ def _ranges(least: int, width: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the covered bytes of each text."""
-    for batch in batches:
-        rows = []
-        for doc, text, spans in zip(*(batch.column(i) for i in range(3))):
-            data = text.as_py()
-            spans = spans.as_py() or []
-            kept, removed, runs = data, 0, 0
-            if spans:
-                edges = np.array([(s["start"], s["stop"]) for s in spans], np.int64)
-                depth = np.zeros(len(data) + 1, np.int32)
-                np.add.at(depth, edges[:, 0], 1)
-                np.add.at(depth, edges[:, 1], -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                removed = int(gone.sum())
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            rows.append((doc.as_py(), len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+def _runs(ends: np.ndarray, n: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The maximal runs that spans cover, never beyond a text: the text of each, its start and its end.
+
+    Text i is at ``ends[i]`` to ``ends[i + 1]`` and has ``n[i]`` of the spans, whose places count from its start.
+    """
+    own = np.repeat(np.arange(len(n)), n)
+    start, stop = ends[own] + start, ends[own] + stop
+    order = np.argsort(start, kind="stable")  # texts lie one after the other, so this keeps them apart
+    own, start, stop = own[order], start[order], np.maximum.accumulate(stop[order])
+    new = np.ones(len(own) + 1, bool)
+    new[1:-1] = (own[1:] != own[:-1]) | (start[1:] > stop[:-1])
+    return own[new[:-1]], start[new[:-1]], stop[new[1:]]
+
+
+def _cut(with_text: bool):
+    """Remove the covered bytes of each text; what is left is returned only ``with_text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = _flat(batch.column(1))
+            n, spans = _entries(batch.column(2))
+            own, first, last = _runs(ends, n, *(spans[c].to_numpy().astype(np.int64) for c in ("start", "stop")))
+            keep = np.ones(len(data), bool)
+            for a, b in zip(first.tolist(), last.tolist()):
+                keep[a:b] = False
+            kept = data[keep].tobytes()
+            removed = np.zeros(len(n), np.int64)
+            np.add.at(removed, own, last - first)
+            sizes = np.diff(ends)
+            edges = np.append(0, np.cumsum(sizes - removed)).tolist()
+            left = [kept[a:b] for a, b in zip(edges, edges[1:])]
+            columns = [
+                batch.column(0), pa.array(sizes), pa.array(removed), pa.array(np.bincount(own, minlength=len(n))),
+                pa.array([hashlib.sha256(k).hexdigest() for k in left], pa.string()),
+            ]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if with_text:
+                columns, names = [*columns, pa.array(left, pa.binary())], [*names, "kept"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 SPLIT = "id long, rank long, single boolean, part int, core long, whole long"
@@ -331,13 +359,13 @@ def repeated_spans(texts: DataFrame, least: int = 200) -> DataFrame:
 
 
 def without_repeats(
-    docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
 ) -> DataFrame:
     """Remove every byte that is covered by a ``least``-byte string which also starts elsewhere.
 
     Texts are UTF-8 bytes; strings do not cross documents, and are judged on the input, overlaps
     and repeats inside a document included. Returns a row per row of ``docs``: ``doc_id``,
-    ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, ``kept``. Null and
+    ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, and ``with_text`` ``kept``. Null and
     empty texts have no bytes; texts shorter than ``least`` lose nothing; copies of a text of that
     length lose everything; rows without an id are kept apart by their text; an empty table gives no
     rows. Further columns are not read.
@@ -348,18 +376,16 @@ def without_repeats(
     spans = repeated_spans(rows.drop("doc_id"), least)
     marked = among(rows, F.col("k1"), spans.select("k1"))
     cut = marked.filter("_maybe").join(spans, ["k1", "k2"], "left").select("doc_id", "data", "spans")
-    cut = cut.mapInArrow(
-        _cut,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
-    )
+    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    cut = cut.mapInArrow(_cut(with_text), f"{columns}, kept binary" if with_text else columns)
     nothing = F.lit(0).cast("long")
     whole = marked.filter("not _maybe").select(
         "doc_id", F.col("k2").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"),
-        F.sha2("data", 256).alias("kept_sha256"), F.col("data").alias("kept"),
+        F.sha2("data", 256).alias("kept_sha256"), *([F.col("data").alias("kept")] if with_text else []),
     )
     return cut.unionByName(whole)
 
 
 def repeats_query(spark, folder: str) -> DataFrame:
     """op10: the contract's columns."""
-    return without_repeats(table(spark, folder, "documents")).drop("kept")
+    return without_repeats(table(spark, folder, "documents"), with_text=False)

@@ -252,6 +252,22 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed):
     assert repeats.without_repeats(docs(spark, [])).count() == 0
 
 
+def test_texts_are_returned_only_where_they_are_asked_for(spark):
+    df = docs(spark, ["a" * 300, "b" * 250 + "x", "y" + "b" * 250, None, "c" * 300])
+    short = repeats.without_repeats(df, with_text=False)
+    assert "kept" not in short.columns and " kept#" not in short._jdf.queryExecution().toString()
+    whole = repeats.without_repeats(df)
+    assert sorted(short.collect(), key=str) == sorted(whole.drop("kept").collect(), key=str)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in whole.collect())
+
+
+def test_runs_end_with_their_text():
+    ends, n = np.array([0, 10, 10, 14, 20]), np.array([3, 0, 1, 2])
+    own, first, last = repeats._runs(ends, n, np.array([6, 0, 2, 0, 0, 3]), np.array([10, 2, 4, 4, 1, 5]))
+    assert list(zip(own, first, last)) == [(0, 0, 4), (0, 6, 10), (2, 10, 14), (3, 14, 15), (3, 17, 19)]
+    assert not len(repeats._runs(np.array([0]), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))[0])
+
+
 def test_python_steps_of_the_links_do_not_share_a_task(spark, monkeypatch):
     plans = []
     usual = simhash.components
