@@ -419,6 +419,39 @@ def test_copies_of_a_text_get_the_same_score_to_the_last_bit(spark):
         assert len({got[100 * i + k] for k in range(30)}) == 1 and got[100 * i][0] == len(text.split())
 
 
+def test_every_row_is_scored_also_if_it_repeats(spark):
+    class Numbered(scoring.Network):
+        """Takes off one more for every row that it is asked for, so rows show whether they were scored."""
+
+        asked = 0
+
+        def chosen(self, sides, wanted):
+            got = super().chosen(sides, wanted) - 1000 * (self.asked + np.arange(len(sides)))
+            self.asked += len(sides)
+            return got
+
+    rows = [(7, "one two")] * 4 + [(i, "one two") for i in range(3)] + [(8, "three"), (None, None)]
+    dealt = scoring.deal(spark.createDataFrame(rows, "doc_id long, text string"))
+    lexicon, net = scoring.train(dealt)
+    told = scoring.score(dealt, lexicon, Numbered(lexicon).load(net.flat())).collect()
+    assert len(told) == len(rows) and sum(r.n_tokens for r in told) == 15
+    assert len({round(r.pll) for r in told}) == 9
+    assert len({r.pll for r in scoring.score(dealt, lexicon, net).filter("n_tokens = 2").collect()}) == 1
+
+
+def test_a_row_is_predicted_alike_wherever_it_stands(spark):
+    lexicon, net = scoring.train(spark.createDataFrame([("a b c d e " * 40,)], "text string"))
+    sides = np.random.default_rng(2).integers(0, lexicon.sizes.inputs, (999, 2 * scoring.SIDE))
+    whole = net.forward(sides)
+    wanted = np.arange(999) % lexicon.sizes.classes
+    one = net.chosen(sides, wanted)
+    assert one.tolist() == whole[np.arange(999), wanted].tolist()
+    for start, n in ((0, 1), (1, 998), (5, 17), (500, 3), (935, 64)):
+        some = slice(start, start + n)
+        assert (net.forward(sides[some]) == whole[some]).all()
+        assert net.chosen(sides[some], wanted[some]).tolist() == one[some].tolist()
+
+
 def test_queries_read_whole_tables(spark):
     assert list(queries.queries()) == sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     n_docs = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
